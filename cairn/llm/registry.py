@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokenfile
-from .common import new_path, table
+from . import archive, decontaminate, langid, licences, maintext, packing, simhash, tokenfile
+from .common import new_path, table, written
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +21,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(tokens, 2048).drop("ids").withColumnRenamed("key", "doc_id")
 
 
+def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, ngram=3, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, F.coalesce(~held_out(), F.lit(False)))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), new_path(spark, "warc")
+    shards = [(r.shard,) for r in archive.write(pages, folder).collect()]
+    files = spark.createDataFrame(shards, "shard long")
+    records, _ = written(archive.read(files.repartition(max(1, len(shards)), "shard"), folder), "records")
+    kept = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").cast("long").alias("refers_to")).distinct()
+    return records.join(kept, "refers_to_id", "left").select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "tokenfile")
     sizes = [(r.shard, r.n_tokens) for r in tokenfile.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=2).collect()]
@@ -29,8 +60,17 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op6_simhash, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_packing, op5_maintext, op6_simhash, op7_langid, op8_licences, op9_archive, op10_tokenfile)}
+
+
+OP9_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+g AS (SELECT digest, max(page_id) AS leader, count(*) AS c FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+CASE WHEN c > 1 AND leader IS NOT NULL AND page_id IS DISTINCT FROM leader AND n >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN c > 1 AND page_id IS DISTINCT FROM leader AND n >= 1000 THEN leader END AS refers_to
+FROM d LEFT JOIN g USING (digest)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licences": licences.oracle(), "op9_archive": OP9_SQL}
