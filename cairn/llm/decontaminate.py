@@ -3,8 +3,8 @@
 A test item of m characters with an error budget of k edits is cut into k + 1 pieces. Wherever a document holds the item
 with at most k edits, at least one piece is left whole, so exact piece hits (one automaton over all pieces) miss no
 occurrence. Hits of an item whose implied starts lie within the budget of each other are one stretch of the document;
-the q-gram lemma discards stretches that share too few 4-grams, and Myers' bit-parallel distance gives the least edits
-of the item against any part of the rest.
+an edit spoils at most one of the item's disjoint 4-grams, so a stretch that lacks more of them than the budget is
+discarded, and Myers' bit-parallel distance gives the least edits of the item against any part of the rest.
 
 Both sides are compared in lower case, with ASCII punctuation and white space as single spaces. The budget is
 ``rate`` x m, rounded down. Items shorter than ``min_chars`` after that leak only as the whole of a document.
@@ -79,7 +79,7 @@ class Matcher:
             cuts = [len(text) * j // n for j in range(n + 1)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 pieces.setdefault(text[a:b], []).append((i, b))
-        self.grams = [[t[i : i + _Q] for i in range(len(t) - _Q + 1)] for _, t in self.items]
+        self.grams = [[t[i : i + _Q] for i in range(0, len(t) - _Q + 1, _Q)] for _, t in self.items]
         self.machine = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.machine.add_word(piece, uses)
@@ -109,8 +109,7 @@ class Matcher:
                 if item in stretch:
                     best = 0
                     break
-                near = {stretch[x : x + _Q] for x in range(len(stretch) - _Q + 1)}
-                if sum(map(near.__contains__, self.grams[i])) < m - _Q + 1 - k * _Q:
+                if sum(map(stretch.__contains__, self.grams[i])) < len(self.grams[i]) - k:
                     continue
                 d = least_distance(item, stretch)
                 if d <= k and (best is None or d < best):

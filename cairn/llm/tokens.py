@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, and each distinct word encoded once per worker.
 
 Where a tokenizer provably never lets a token cross a word boundary, its ids for a text are those of the words in turn.
-The words are cut out as bytes, looked up in a memo, and only unknown ones go through the tokenizers library. The memo
-is emptied at a fixed number of words, so memory is bounded. Any other tokenizer, and texts with white space outside
+The words are cut out as bytes, looked up in a memo, and only unknown ones go through the tokenizers library, as texts of
+many words with a marker word after each. At a fixed number of words the memo forgets those met once, so memory is bounded. Any other tokenizer, and texts with white space outside
 ASCII where that matters, go through the library whole.
 """
 
@@ -12,15 +12,19 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 #: A word with the white space before it.
 _LED = re.compile(rb"\s*\S+|\s+")
-_ODD_SPACE = re.compile("[\x85\xa0  -     　]")
-#: Words in the memo, and characters encoded at a time.
-MEMO, AT_ONCE = 600_000, 1 << 20
+#: White space outside ASCII, in UTF-8.
+_ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Words in the memo, bytes encoded at a time, and unknown words in one text.
+MEMO, AT_ONCE, TOGETHER = 600_000, 1 << 20, 64
+#: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
+_MARK = " \0"
 
 
 class _Memo(dict):
@@ -50,40 +54,81 @@ class Encoder:
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         parts = pre.get("pretokenizers", [])
         self.apart = plain and steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed" and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
+        mark = self._plain([_MARK])[0] if self.led or self.apart else []
+        self.mark = np.array(mark, np.uint32) if mark and mark[-1] not in self._plain([" a.b"])[0] else None
         self._clear()
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._plain([w.decode("utf-8") for w in words])
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        after = f"{_MARK}" if self.led else f"{_MARK} "
+        ids = np.array(self._plain([b"".join(w + after.encode() for w in words).decode("utf-8")])[0], np.uint32)
+        ends = np.flatnonzero(ids == self.mark[-1])
+        if len(ends) != len(words):
+            raise ValueError("the marker word was lost")
+        keep = np.ones(len(ids), bool)
+        for i in range(len(self.mark)):
+            keep[ends - i] = False
+        return ids[keep], np.diff(ends, prepend=-1) - len(self.mark)
+
     def _clear(self) -> None:
         self.memo, self.flat, self.size = _Memo(), np.empty(1 << 16, np.uint32), 0
-        self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.start, self.count, self.met = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words met more than once, or of many such the half that was met most."""
+        n = len(self.memo)
+        met = self.met[:n]
+        floor = 1 if (met > 1).sum() <= MEMO // 2 else int(np.partition(met, n - MEMO // 2)[n - MEMO // 2])
+        keep = np.flatnonzero(met > floor)
+        words = np.array(list(self.memo), object)[keep].tolist()
+        start, count, flat, met = self.start[keep], self.count[keep].astype(np.int64), self.flat, met[keep] // 2
+        self._clear()
+        self.memo.update(zip(words, range(len(words)), strict=True))
+        ends = np.cumsum(count)
+        self.flat = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + count, count)]
+        self.start, self.count, self.met, self.size = ends - count, count.astype(np.int32), met, len(self.flat)
 
     def _learn(self) -> None:
         new = self.memo.new
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        at, count = len(self.memo) - len(new), np.fromiter(map(len, got), np.int32, len(got))
-        more, need = int(count.sum()), len(self.memo)
+        need, at = len(self.memo), len(self.memo) - len(new)
+        odd = list(range(len(new))) if self.mark is None else [i for i, w in enumerate(new) if b"\0" in w or self.led and (w[0] > 32 or w[-1] < 33)]
+        skip = set(odd)
+        plain = [i for i in range(len(new)) if i not in skip] if odd else range(len(new))
+        got = [self._marked([new[j] for j in plain[i : i + TOGETHER]]) for i in range(0, len(plain), TOGETHER)]
+        if odd:
+            got.append(self._apart([new[i] for i in odd]))
+        flat, count = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        where = at + np.concatenate([np.asarray(x, np.int64) for x in (plain, odd)])
         if need > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.empty(need, x.dtype))) for x in (self.start, self.count))
-        if self.size + more > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(self.size + more, np.uint32)))
-        self.flat[self.size : self.size + more] = np.fromiter((i for x in got for i in x), np.uint32, more)
-        self.start[at:need] = self.size + np.cumsum(count) - count
-        self.count[at:need] = count
-        self.size += more
+            self.start, self.count, self.met = (np.concatenate((x, np.zeros(need, x.dtype))) for x in (self.start, self.count, self.met))
+        if self.size + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(self.size + len(flat), np.uint32)))
+        self.flat[self.size : self.size + len(flat)] = flat
+        self.start[where] = self.size + np.cumsum(count) - count
+        self.count[where] = count
+        self.size += len(flat)
         new.clear()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8) in a row, and how many each has."""
         if not (self.led or self.apart) or self.led and any(not t.isascii() and _ODD_SPACE.search(t) for t in texts):
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum())), counts
+            got = self._plain([t.decode("utf-8") for t in texts])
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
         if len(self.memo) > MEMO:
-            self._clear()
-        words = [_LED.findall(t.encode()) if self.led else t.encode().split() for t in texts]
+            self._forget()
+        words = [_LED.findall(t) if self.led else t.split() for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.fromiter((i for x in words for i in map(self.memo.__getitem__, x)), np.int64, int(n.sum()))
+        which = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         if self.memo.new:
             self._learn()
+        seen = np.bincount(which)
+        self.met[: len(seen)] += seen
         count, start = self.count[which].astype(np.int64), self.start[which]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
@@ -101,11 +146,11 @@ def encoder(path: str) -> Encoder:
     return _KNOWN[path]
 
 
-def blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of at most AT_ONCE characters, but for one longer text alone; null is empty."""
+def blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of at most AT_ONCE bytes, but for one longer text alone; null is empty."""
     first, size, now = 0, 0, []
     for i, t in enumerate(texts):
-        t = t or ""
+        t = t or b""
         if now and size + len(t) > AT_ONCE:
             yield first, now
             first, size, now = i, 0, []
@@ -119,7 +164,7 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[
     """For batches of (key, text): keys, and each text's ids with ``end`` after them."""
     e, tail = encoder(path), np.array([end], np.uint32)
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(1).cast(pa.binary())
         for first, some in blocks(x.as_py() for x in texts):
             ids, counts = e.encode(some)
             cuts = np.concatenate(([0], np.cumsum(counts)))
