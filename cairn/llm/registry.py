@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, langid, licences, maintext, packing, simhash, tokenfile
+from . import archive, covertree, decontaminate, langid, licences, maintext, packing, simhash, tokenfile, urls
 from .common import new_path, table, written
 
 
@@ -16,11 +16,31 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1)
     return packing.packed(tokens, 2048).drop("ids").withColumnRenamed("key", "doc_id")
 
 
+#: Host, path, verdict.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """A page shows the document that its path names last; it is bad if that one is of low quality or toxic."""
+    shown = pages.select("page_id", F.regexp_extract(urls.path_of(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1).try_cast("long").alias("doc_id"))
+    said = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return shown.join(said, "doc_id").select("page_id", "bad")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, page_labels(pages, table(spark, sf_dir, "labels")), RULES)
+
+
 def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -60,7 +80,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_packing, op5_maintext, op6_simhash, op7_langid, op8_licences, op9_archive, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_covertree, op3_packing, op4_urls, op5_maintext, op6_simhash, op7_langid, op8_licences, op9_archive, op10_tokenfile)}
 
 
 OP9_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

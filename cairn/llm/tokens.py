@@ -22,7 +22,7 @@ _LED = re.compile(rb"\s*\S+|\s+")
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Words in the memo, bytes encoded at a time, and unknown words in one text.
-MEMO, AT_ONCE, TOGETHER = 600_000, 1 << 20, 64
+MEMO, AT_ONCE, TOGETHER = 1_200_000, 1 << 21, 64
 #: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
 _MARK = " \0"
 
