@@ -79,8 +79,14 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder, sizes).withColumnRenamed("key", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_covertree, op3_packing, op4_urls, op5_maintext, op6_simhash, op7_langid, op8_licences, op9_archive, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_covertree, op3_packing, op4_urls, op5_maintext, op6_simhash, op7_langid, op8_licences, op9_archive, op10_tokenfile, pipeline)}
 
 
 OP9_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
