@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import relieved
+
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 #: Of the filter before the distance.
 _Q = 4
@@ -145,6 +147,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         far.append(d)
                         chars.append(len(matcher.items[i][1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, keys), pa.array(far, pa.int32()), pa.array(chars, pa.int32())], [key, item_key, "distance", "item_chars"])
+            relieved()
 
         keys = pa.int64() if asked.schema["k"].dataType.simpleString() == "bigint" else None
         found = source.mapInArrow(run, schema)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import relieved
+
 #: Bytes in a stretch, and stretches that run side by side.
 SPAN, SIDE = 128, 1024
 _LETTER = re.compile(r"[^\W\d_]")
@@ -246,6 +248,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 for to, x in zip(got, predicted(model, values[at : i + 1]), strict=True):
                     to.extend(x)
                 at, size = i + 1, 0
+        del values, texts
+        relieved()
         return pd.DataFrame({"lang_pred": got[0], "score": got[1]})
 
     return docs.withColumn("_said", of(F.col(f"`{text}`").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))

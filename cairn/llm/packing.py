@@ -51,8 +51,8 @@ def offsets(tokens: DataFrame) -> tuple[dict[int, int], int]:
     return at, total
 
 
-def packed(tokens: DataFrame, window: int = 2048) -> DataFrame:
-    """Pieces: key, doc_tokens, start, length, sequence_id, offset, padded_to, ids_crc32, ids."""
+def packed(tokens: DataFrame, window: int = 2048, with_ids: bool = True) -> DataFrame:
+    """Pieces: key, doc_tokens, start, length, sequence_id, offset, padded_to, ids_crc32, and ids unless they are not wanted."""
     at, total = offsets(tokens)
     wide = tokens.schema["key"].dataType.simpleString()
 
@@ -73,14 +73,13 @@ def packed(tokens: DataFrame, window: int = 2048) -> DataFrame:
                     one = ids[start : start + length].tobytes()
                     which.append(i)
                     for to, x in zip(rows, (n, start, length, sequence, offset, filled if filled & (filled - 1) == 0 else window, zlib.crc32(one), one), strict=True):
-                        to.append(x)
+                        to.append(x if with_ids or to is not rows[7] else None)
                     start += length
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in rows[:7]), pa.array(rows[7], pa.binary())],
-                ["key", "doc_tokens", "start", "length", "sequence_id", "offset", "padded_to", "ids_crc32", "ids"],
-            )
+            names = ["key", "doc_tokens", "start", "length", "sequence_id", "offset", "padded_to", "ids_crc32", "ids"]
+            columns = [keys.take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in rows[:7]), pa.array(rows[7], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names) - (not with_ids)], names[: len(names) - (not with_ids)])
 
-    return tokens.mapInArrow(run, f"key {wide}, doc_tokens long, start long, length long, sequence_id long, offset long, padded_to long, ids_crc32 long, ids binary")
+    return tokens.mapInArrow(run, f"key {wide}, doc_tokens long, start long, length long, sequence_id long, offset long, padded_to long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

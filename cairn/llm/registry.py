@@ -22,7 +22,7 @@ def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1)
-    return packing.packed(tokens, 2048).drop("ids").withColumnRenamed("key", "doc_id")
+    return packing.packed(tokens, 2048, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
 #: Host, path, verdict.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, relieved, written
 
 #: Row b has the bits of byte b, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -59,7 +59,10 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp", ngram:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, ngram, seed) for t in texts], np.uint64).view(np.int64))
+        out = np.array([fingerprint(t, ngram, seed) for t in texts], np.uint64).view(np.int64)
+        del texts
+        relieved()
+        return pd.Series(out)
 
     return docs.withColumn(to, of(F.col(f"`{text}`").cast("string")))
 

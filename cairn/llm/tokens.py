@@ -17,12 +17,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from .common import relieved
+
 #: A word with the white space before it.
 _LED = re.compile(rb"\s*\S+|\s+")
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Words in the memo, bytes encoded at a time, and unknown words in one text.
-MEMO, AT_ONCE, TOGETHER = 1_200_000, 1 << 21, 64
+MEMO, AT_ONCE, TOGETHER = 800_000, 1 << 21, 64
 #: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
 _MARK = " \0"
 
@@ -88,6 +90,7 @@ class Encoder:
         keep = np.flatnonzero(met > floor)
         words = np.array(list(self.memo), object)[keep].tolist()
         start, count, flat, met = self.start[keep], self.count[keep].astype(np.int64), self.flat, met[keep] // 2
+        self.memo.clear()
         self._clear()
         self.memo.update(zip(words, range(len(words)), strict=True))
         ends = np.cumsum(count)
@@ -162,6 +165,7 @@ def blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """For batches of (key, text): keys, and each text's ids with ``end`` after them."""
+    relieved()
     e, tail = encoder(path), np.array([end], np.uint32)
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())

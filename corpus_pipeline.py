@@ -35,7 +35,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 token ids."""
     tokens = packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), end=1)
-    return packing.packed(tokens, 2048).drop("ids").withColumnRenamed("key", "doc_id")
+    return packing.packed(tokens, 2048, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("benchmark leaks", leaks), ("packing", pack)]
