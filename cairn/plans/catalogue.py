@@ -1,17 +1,14 @@
-"""Registry of the engine's queries and of the SQL that each one must equal."""
+"""All queries of the engine and the SQL that each must equal."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from cairn.plans import chunks, conversations, scalars, search  # noqa: F401
+from cairn.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
