@@ -20,11 +20,13 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import relieved
@@ -121,41 +123,54 @@ class Matcher:
         return sorted(found)
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, min_chars: int = 25, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document and item that it holds: key, item_key, distance, item_chars."""
-    session = docs.sparkSession
+def _blocks(session: SparkSession, items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
+    """The items, block by block, each a broadcast list of (key, text)."""
     asked = items.select(F.col(f"`{item_key}`").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = int(size // block_bytes) + 1
+    n = int(size // block_bytes) + 1
+    for b in range(n):
+        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
+        yield session.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, min_chars: int = 25, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document and item that it holds: key, item_key, distance, item_chars."""
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = f"`{key}` {source.schema['key'].dataType.simpleString()}, `{item_key}` {asked.schema['k'].dataType.simpleString()}, distance int, item_chars int"
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
-        sent = session.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    wide = items.select(F.col(f"`{item_key}`").alias("k")).schema["k"].dataType.simpleString()
+    schema = f"`{key}` {source.schema['key'].dataType.simpleString()}, `{item_key}` {wide}, distance int, item_chars int"
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(wide)
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = None
+    def finder(sent: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, rate, min_chars)
             for batch in batches:
-                if matcher is None:
-                    matcher = Matcher(sent.value, rate, min_chars)
-                rows, which, far, chars = [], [], [], []
-                for r, t in enumerate(batch.column(1)):
-                    for i, d in matcher.matches(t.as_py()):
-                        rows.append(r)
-                        which.append(matcher.items[i][0])
-                        far.append(d)
-                        chars.append(len(matcher.items[i][1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, keys), pa.array(far, pa.int32()), pa.array(chars, pa.int32())], [key, item_key, "distance", "item_chars"])
+                found = [(r, matcher.items[i][0], d, len(matcher.items[i][1])) for r, t in enumerate(batch.column(1)) for i, d in matcher.matches(t.as_py())]
+                rows, which, far, chars = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, kind), pa.array(far, pa.int32()), pa.array(chars, pa.int32())], [key, item_key, "distance", "item_chars"])
             relieved()
 
-        keys = pa.int64() if asked.schema["k"].dataType.simpleString() == "bigint" else None
-        found = source.mapInArrow(run, schema)
+        return run
+
+    out = None
+    for sent in _blocks(docs.sparkSession, items, item_key, item_text, block_bytes):
+        found = source.mapInArrow(finder(sent), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold an item."""
-    bad = leaks(docs, items, key, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, min_chars: int = 25, block_bytes: int = 16 << 20) -> DataFrame:
+    """docs without those that hold an item. Each row is judged where it lies, so nothing is shuffled and ids play no part."""
+
+    def judge(sent: Broadcast) -> Callable:
+        @F.pandas_udf("boolean")
+        def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = Matcher(sent.value, rate, min_chars)
+            for texts in parts:
+                yield pd.Series([bool(matcher.matches(t)) for t in texts], dtype=bool)
+            relieved()
+
+        return holds
+
+    for sent in _blocks(docs.sparkSession, items, item_key, item_text, block_bytes):
+        docs = docs.where(~judge(sent)(F.col(f"`{text}`").cast("string")))
+    return docs

@@ -17,6 +17,7 @@ gives no rows; further columns are kept or ignored as the function says.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,8 +236,8 @@ def fit(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", l
     return trained([r.x for r in rows], [r.y for r in rows], **options)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the label and its score in the columns ``to``; columns of those names are replaced."""
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -252,4 +253,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         relieved()
         return pd.DataFrame({"lang_pred": got[0], "score": got[1]})
 
-    return docs.withColumn("_said", of(F.col(f"`{text}`").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
+    said = "said_" + uuid.uuid4().hex
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in to]
+    return docs.withColumn(said, of(F.col(f"`{text}`").cast("string"))).select(*kept, F.col(f"{said}.lang_pred").alias(to[0]), F.col(f"{said}.score").alias(to[1]))

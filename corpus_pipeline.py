@@ -7,6 +7,8 @@ and empty texts have no language and leave in the first stage; an empty table pa
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from cairn.llm.registry import held_out
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network names; those without any letter go."""
     model = langid.fit(docs, F.coalesce(~held_out(), F.lit(False)))
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    to = tuple(f"{x}_{uuid.uuid4().hex}" for x in ("language", "score"))
+    return langid.predict(docs, model, to=to).where(F.col(to[0]) != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
