@@ -11,7 +11,6 @@ packed like others; an empty table gives no pieces; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,19 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoded, width
+from .tokens import encoded
 
 
 def tokenised(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table: key, part, before (ids before it in its part), n, ids (little-endian, as wide as needed)."""
-    kind = width(path, end)
+    """A written table: key, part, before (ids before it in its part), n, ids (little-endian, four bytes each)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for keys, ids in encoded(batches, path, end):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(np.full(len(ids), part, np.int64)), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
+                [keys, pa.array(np.full(len(ids), part, np.int64)), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
                 ["key", "part", "before", "n", "ids"],
             )
             before += int(n.sum())
@@ -51,35 +49,20 @@ def offsets(tokens: DataFrame) -> tuple[dict[int, int], int]:
     return at, total
 
 
-def packed(tokens: DataFrame, window: int = 2048, with_ids: bool = True) -> DataFrame:
-    """Pieces: key, doc_tokens, start, length, sequence_id, offset, padded_to, ids_crc32, and ids unless they are not wanted."""
+def packed(tokens: DataFrame, window: int = 2048) -> DataFrame:
+    """Pieces: key, doc_tokens, start, length, sequence_id, offset, padded_to, ids_crc32, ids (little-endian, four bytes each)."""
     at, total = offsets(tokens)
-    wide = tokens.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts, befores, ns, bodies = batch.columns
-            rows: list[list] = [[] for _ in range(8)]
-            which = []
-            for i, (part, before, n, body) in enumerate(zip(parts.to_pylist(), befores.to_pylist(), ns.to_pylist(), bodies, strict=True)):
-                raw = body.as_buffer()
-                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype("<u4")
-                left = at[part] + before
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(left + start, window)
-                    length = min(window - offset, n - start)
-                    filled = min(window, total - sequence * window)
-                    one = ids[start : start + length].tobytes()
-                    which.append(i)
-                    for to, x in zip(rows, (n, start, length, sequence, offset, filled if filled & (filled - 1) == 0 else window, zlib.crc32(one), one), strict=True):
-                        to.append(x if with_ids or to is not rows[7] else None)
-                    start += length
-            names = ["key", "doc_tokens", "start", "length", "sequence_id", "offset", "padded_to", "ids_crc32", "ids"]
-            columns = [keys.take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in rows[:7]), pa.array(rows[7], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns[: len(names) - (not with_ids)], names[: len(names) - (not with_ids)])
-
-    return tokens.mapInArrow(run, f"key {wide}, doc_tokens long, start long, length long, sequence_id long, offset long, padded_to long, ids_crc32 long" + ", ids binary" * with_ids)
+    # one row a task, which the driver has just held
+    base = F.broadcast(tokens.sparkSession.createDataFrame(list(at.items()), "part long, base long"))
+    placed = tokens.join(base, "part").withColumn("at", F.col("base") + F.col("before"))
+    cut = placed.withColumn("sequence_id", F.explode(F.sequence(F.expr(f"at div {window}"), F.expr(f"(at + n - 1) div {window}"))))
+    cut = cut.withColumn("start", F.greatest(F.col("sequence_id") * window - F.col("at"), F.lit(0)))
+    cut = cut.withColumn("offset", F.col("at") + F.col("start") - F.col("sequence_id") * window)
+    cut = cut.withColumn("length", F.least(F.col("n") - F.col("start"), window - F.col("offset")))
+    filled = F.least(F.lit(window), total - F.col("sequence_id") * window)
+    ids = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    padded = F.when(filled.bitwiseAND(filled - 1) == 0, filled).otherwise(F.lit(window))
+    return cut.select("key", F.col("n").alias("doc_tokens"), "start", "length", "sequence_id", "offset", padded.cast("long").alias("padded_to"), F.crc32(ids).alias("ids_crc32"), ids.alias("ids"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from .common import relieved
 _LED = re.compile(rb"\s*\S+|\s+")
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Words in the memo, bytes encoded at a time, and unknown words in one text.
-MEMO, AT_ONCE, TOGETHER = 800_000, 1 << 21, 64
+#: Words in the memo and of those in an idle worker, bytes encoded at a time, and unknown words in one text.
+MEMO, IDLE, AT_ONCE, TOGETHER = 800_000, 300_000, 1 << 20, 64
 #: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
 _MARK = " \0"
 
@@ -82,11 +82,11 @@ class Encoder:
         self.memo, self.flat, self.size = _Memo(), np.empty(1 << 16, np.uint32), 0
         self.start, self.count, self.met = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _forget(self) -> None:
-        """Keep the words met more than once, or of many such the half that was met most."""
+    def forget(self, most: int) -> None:
+        """Keep the words met more than once, or where these are more than most, those met oftenest."""
         n = len(self.memo)
         met = self.met[:n]
-        floor = 1 if (met > 1).sum() <= MEMO // 2 else int(np.partition(met, n - MEMO // 2)[n - MEMO // 2])
+        floor = 1 if (met > 1).sum() <= most else int(np.partition(met, n - most)[n - most])
         keep = np.flatnonzero(met > floor)
         words = np.array(list(self.memo), object)[keep].tolist()
         start, count, flat, met = self.start[keep], self.count[keep].astype(np.int64), self.flat, met[keep] // 2
@@ -124,8 +124,8 @@ class Encoder:
             got = self._plain([t.decode("utf-8") for t in texts])
             return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
         if len(self.memo) > MEMO:
-            self._forget()
-        words = [_LED.findall(t) if self.led else t.split() for t in texts]
+            self.forget(MEMO // 2)
+        words = [_LED.findall(t) if self.led else t.lower().split() for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         which = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         if self.memo.new:
@@ -165,7 +165,6 @@ def blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """For batches of (key, text): keys, and each text's ids with ``end`` after them."""
-    relieved()
     e, tail = encoder(path), np.array([end], np.uint32)
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -173,6 +172,10 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[
             ids, counts = e.encode(some)
             cuts = np.concatenate(([0], np.cumsum(counts)))
             yield batch.column(0).slice(first, len(some)), [np.concatenate((ids[a:b], tail)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    # an executor may hold more workers than cores, and idle ones keep what they have
+    if len(e.memo) > IDLE:
+        e.forget(IDLE)
+    relieved()
 
 
 def width(path: str, end: int) -> np.dtype:
