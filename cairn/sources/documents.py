@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cairn.sources.office import office_text
+
 # File types, encodings in the order to try, and leading bytes of formats.
-KINDS = {"md": "markdown", "markdown": "markdown", "txt": "markdown", "text": "markdown", "json": "markdown", "docx": "docx", "pdf": "pdf"}
+KINDS = {"md": "markdown", "markdown": "markdown", "txt": "markdown", "text": "markdown", "json": "markdown", "docx": "docx", "pdf": "pdf", "xlsx": "xlsx", "pptx": "pptx"}
 ENCODINGS = ("utf-8", "gb18030", "gb2312", "gbk", "big5", "ascii", "latin-1")
 MAGIC = {"504B0304": "zip", "D0CF11E0A1B11AE1": "ole", "25504446": "pdf"}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -149,7 +151,7 @@ def docx_text(content: pd.Series) -> pd.Series:
 def parsed(rows: DataFrame) -> DataFrame:
     """rows (path, kind, content) with text: the first parser of each kind that gives some, empty where none does."""
     markdown = image_paths(with_tables(decoded(F.col("content"))))
-    text = F.when(F.col("kind") == "docx", F.coalesce(docx_text(F.col("content")), F.lit(""))).when(F.col("kind") == "markdown", markdown).otherwise(F.lit(""))
+    text = F.when(F.col("kind") == "docx", F.coalesce(docx_text(F.col("content")), F.lit(""))).when(F.col("kind") == "markdown", markdown).otherwise(F.coalesce(office_text(F.coalesce("kind", F.lit("")), "content"), F.lit("")))
     return rows.withColumn("text", text)
 
 
