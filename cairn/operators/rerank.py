@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from cairn.functions.text import clamp, token_set
+from cairn.functions.text import clamp, clean_passage, token_set
 
 
 def lexical_score(query_terms: Column, passage_terms: Column) -> Column:
@@ -36,16 +36,32 @@ def over_or_best(ranked: DataFrame, threshold: float, floor: float = 0.15) -> Da
 
     Where a threshold over .3 leaves a query empty, it is asked again at .7 of it, .3 at least.
     """
-    def once(df: DataFrame, t: float) -> DataFrame:
-        w = Window.partitionBy("query_id")
-        best = F.max((F.col("model_score") >= t).cast("int")).over(w)
-        return df.withColumn("_any", best).where((F.col("model_score") >= t) | ((F.col("_any") == 0) & (F.col("ordinal") == 0) & (F.col("model_score") >= floor))).drop("_any")
+    w = Window.partitionBy("query_id")
+    first = (F.col("ordinal") == 0) & (F.col("model_score") >= floor)
+
+    def kept(t: float) -> Column:
+        over = F.col("model_score") >= t
+        return over | (~F.max(over).over(w) & first)
 
-    kept = once(ranked, threshold)
     if threshold <= 0.3:
-        return kept
-    again = ranked.join(kept.select("query_id").distinct(), "query_id", "left_anti")
-    return kept.unionByName(once(again, max(0.3, 0.7 * threshold)))
+        return ranked.withColumn("_keep", kept(threshold)).where("_keep").drop("_keep")
+    both = ranked.withColumn("_once", kept(threshold)).withColumn("_again", kept(max(0.3, 0.7 * threshold)))
+    return both.withColumn("_keep", F.when(F.max("_once").over(w), F.col("_once")).otherwise(F.col("_again"))).where("_keep").drop("_once", "_again", "_keep")
+
+
+def stage(hits: DataFrame, model_score: Column, k: int, threshold: float = 0.2, boost: float = 1.0, on: bool = True) -> DataFrame:
+    """Hits as the k chosen of each query, with their composite scores.
+
+    hits: query_id, content, score, match_type, chunk_type, start_at, end_at, ordinal. Blank passages go; hits that were
+    loaded directly (match type 7) count as certain, pass no threshold and come after the others.
+    """
+    direct = F.col("match_type") == 7
+    judged = hits.where(direct | (F.trim(clean_passage(F.col("content"))) != "")).withColumn("model_score", F.when(direct, F.lit(1.0)).otherwise(model_score))
+    order = Window.partitionBy("query_id").orderBy(F.desc("model_score"), "ordinal")
+    ranked = over_or_best(judged.where(~direct).withColumn("ordinal", F.row_number().over(order) - 1), threshold)
+    later = judged.where(direct).withColumn("ordinal", F.col("ordinal").cast("int") + 1_000_000)
+    scored = ranked.unionByName(later).withColumn("score", faq_boost(composite(F.col("model_score"), F.col("score"), F.col("start_at"), F.col("end_at")), F.col("chunk_type"), boost, on))
+    return mmr(scored, k)
 
 
 def mmr_order(tokens: list[set], scores: list[float], k: int, weight: float = 0.7, swap: bool = False) -> list[int]:
@@ -121,4 +137,4 @@ def local_terms(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(han(r), F.concat(ones(r), twos(r))).otherwise(F.array(r))))
 
 
-__all__ = ["composite", "faq_boost", "hash_embed", "lexical_score", "local_terms", "mmr", "mmr_order", "over_or_best"]
+__all__ = ["composite", "faq_boost", "hash_embed", "lexical_score", "local_terms", "mmr", "mmr_order", "over_or_best", "stage"]

@@ -22,6 +22,33 @@ def with_links(chunks: DataFrame, per: str = "knowledge_id", order: str = "chunk
     return linked.withColumn("pre_chunk_id", F.when(F.col("_linked"), F.lag("chunk_id").over(o))).withColumn("next_chunk_id", F.when(F.col("_linked"), F.lead("chunk_id").over(o))).drop("_linked")
 
 
+#: Rows that one task sums up, and buckets at most.
+BUCKET_ROWS, BUCKETS = 100_000, 1000
+
+
+def prefix_sums(rows: DataFrame, order: list[str], value: str, to: str) -> DataFrame:
+    """rows with the sum of value over all rows before them in a unique order.
+
+    The order is cut into buckets at sampled keys (at most BUCKETS, so the driver and each row hold few); sums within a
+    bucket and over the buckets before it add up. Where the cuts fall changes no result.
+    """
+    key = F.struct(*order)
+    n = rows.count()
+    buckets = min(BUCKETS, n // BUCKET_ROWS + 1)
+    bucket = F.lit(0)
+    if buckets > 1:
+        every = max(1, n // (buckets * 20))
+        picked = rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*order).orderBy(*order)
+        keys = picked.withColumn("_n", F.ntile(buckets).over(Window.orderBy(*order))).groupBy("_n").agg(F.min(key).alias("k")).select("k.*").orderBy(*order).collect()
+        bounds = [F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, k, strict=True)]) for k in keys[1:]]
+        bucket = F.size(F.filter(F.array(*bounds), lambda b: b <= key))
+    cut = rows.withColumn("_bucket", bucket)
+    inner = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = cut.groupBy("_bucket").agg(F.sum(value).alias("_total"))
+    before = totals.select("_bucket", F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return cut.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(before), "_bucket").withColumn(to, F.col("_inner") + F.col("_before")).drop("_bucket", "_inner", "_before")
+
+
 def with_seq(chunks: DataFrame, last: int, per: list[str], order: str = "chunk_index") -> DataFrame:
     """seq_id after last: documents in order of ``per``, their chunks by index, parents before children.
 
@@ -31,8 +58,8 @@ def with_seq(chunks: DataFrame, last: int, per: list[str], order: str = "chunk_i
     parent_first = F.when(F.col("chunk_type") == "parent_text", 0).otherwise(1)
     inner = chunks.withColumn("_i", F.row_number().over(Window.partitionBy(*per).orderBy(order, parent_first, "chunk_id")))
     sizes = chunks.groupBy(*per).count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(*per).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(before.drop("count"), per).withColumn("seq_id", F.col("_i") + F.col("_before") + last).drop("_i", "_before")
+    before = prefix_sums(sizes, per, "count", "_offset").select(*per, F.col("_offset").alias("_before"))
+    return inner.join(before, per).withColumn("seq_id", F.col("_i") + F.col("_before") + last).drop("_i", "_before")
 
 
 def live(chunks: DataFrame, deleted: str = "deleted_at") -> DataFrame:

@@ -96,3 +96,25 @@ def test_office(spark):
     rows = spark.createDataFrame([("pdf", made_pdf()), ("xlsx", b"broken"), (None, b"x")], "kind string, content binary").withColumn("path", F.lit("p"))
     assert [r.text for r in documents.parsed(rows).collect()] == ["Hello (PDF)\nWorld two\nHi.", "", ""]
     assert Message("user", "x").calls == []
+
+
+def test_prefix_sums(spark, monkeypatch):
+    from cairn.operators import store
+
+    monkeypatch.setattr(store, "BUCKET_ROWS", 50)
+    rows = spark.range(0, 900, 3).select((F.col("id") % 7).alias("a"), F.col("id").cast("string").alias("b"), (F.col("id") % 5).alias("v"))
+    got = sorted((r.a, r.b, r.v, r.x) for r in store.prefix_sums(rows, ["a", "b"], "v", "x").collect())
+    at = 0
+    for _, _, v, x in got:
+        assert x == at
+        at += v
+    assert store.prefix_sums(rows.limit(0), ["a"], "v", "x").count() == 0
+
+
+def test_rerank_stage(spark):
+    from cairn.operators import rerank
+
+    rows = [(1, "alpha beta", 0.5, 0, "text", 0, 9, 0, 0.9), (1, "gamma delta", 0.5, 0, "faq", 0, 9, 1, 0.1), (1, " ", 0.5, 0, "text", 0, 9, 2, 0.9), (1, "direct one", 0.5, 7, "text", 0, 9, 3, 0.0), (2, "only weak", 0.5, 0, "faq", 0, 9, 0, 0.2)]
+    hits = spark.createDataFrame(rows, "query_id int, content string, score double, match_type int, chunk_type string, start_at int, end_at int, ordinal int, m double")
+    got = {(r.query_id, r.content): r.score for r in rerank.stage(hits, F.col("m"), 5, 0.2, 1.5).collect()}
+    assert got == {(1, "alpha beta"): pytest.approx((0.63 + 0.15) * 1.05), (1, "direct one"): pytest.approx((0.7 + 0.15) * 1.05), (2, "only weak"): pytest.approx((0.14 + 0.15) * 1.05 * 1.5)}
