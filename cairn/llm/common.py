@@ -44,6 +44,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Written tables of one computation, deleted together when its own result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        while self.paths:
+            dropped(self.spark, self.paths.pop())
+
+
 def relieved() -> None:
     """Give memory that a task no longer needs back to the system: workers live on and serve other operators."""
     gc.collect()

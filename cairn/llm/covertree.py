@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Scratch, components, written
 
 #: Points in a tree's leaf; sampled points of a node that choose its pivots; nodes whose pivots are sent at once.
 _LEAF, _SAMPLE, _NODES = 48, 256, 1024
@@ -165,7 +165,7 @@ def _nearest(sent):  # noqa: ANN001, ANN202
     return nearest
 
 
-def _split(points: DataFrame, cap: int, fan: int) -> tuple[DataFrame, int]:
+def _split(points: DataFrame, cap: int, fan: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """points with their leaf's path (child numbers joined by dots), and the depth of the tree."""
     spark = points.sparkSession
     level, open_now, done = 0, points.withColumn("path", F.lit("r")), None
@@ -180,7 +180,7 @@ def _split(points: DataFrame, cap: int, fan: int) -> tuple[DataFrame, int]:
         picked = open_now.join(large, ["g", "path"]).where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 20)) < F.ceil(F.lit(float(_SAMPLE << 20)) / F.col("n")))
         sampled = picked.groupBy("g", "path", "n").agg(F.collect_list("vec").alias("sample"))
         asked = F.least(F.greatest(F.ceil(2 * F.col("n") / cap), F.lit(2)), F.lit(fan))
-        pivots, _ = written(sampled.select("g", "path", choose("sample", asked).alias("p")).where(F.size("p") > 1), "pivots")
+        pivots = scratch(sampled.select("g", "path", choose("sample", asked).alias("p")).where(F.size("p") > 1), "pivots")
         count = pivots.count()
         last = level >= 40 or not count
         small = open_now if last else open_now.join(pivots.select("g", "path"), ["g", "path"], "left_anti")
@@ -198,14 +198,15 @@ def _split(points: DataFrame, cap: int, fan: int) -> tuple[DataFrame, int]:
             nearest = _nearest(sent)
             part = open_now.join(some.select("g", "path"), ["g", "path"]).withColumn("path", F.concat("path", F.lit("."), nearest("g", "path", "vec").cast("string")))
             moved = part if moved is None else moved.unionByName(part)
-        open_now, _ = written(moved.select(*points.columns, "path"), "points")
+        open_now = scratch(moved.select(*points.columns, "path"), "points")
         level += 1
-    return written(done.select(*points.columns, "path"), "placed")[0], level
+    return scratch(done.select(*points.columns, "path"), "placed"), level
 
 
 def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 32) -> tuple[DataFrame, DataFrame]:
     """For distinct points (g: group, id: long, weight: long, vec): (id, linked weight) and connecting links (a, b)."""
-    placed, depth = _split(points, cap, fan)
+    scratch = Scratch(points.sparkSession)
+    placed, depth = _split(points, cap, fan, scratch)
     tau = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     @F.pandas_udf("centre array<double>, radius double, body binary")
@@ -218,7 +219,7 @@ def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 3
         return pd.DataFrame(out, columns=["centre", "radius", "body"])
 
     members = placed.groupBy("g", "path").agg(F.collect_list(F.struct("id", "weight", "vec")).alias("m"))
-    leaves, _ = written(members.select("g", "path", F.col("m.id").alias("ids"), F.col("m.weight").alias("weights"), packed(F.col("m.vec")).alias("p")).select("g", "path", "ids", "weights", "p.*"), "leaves")
+    leaves = scratch(members.select("g", "path", F.col("m.id").alias("ids"), F.col("m.weight").alias("weights"), packed(F.col("m.vec")).alias("p")).select("g", "path", "ids", "weights", "p.*"), "leaves")
     prefix = lambda k: F.when(F.size(F.split("path", r"\.")) > k + 1, F.concat(F.substring_index("path", ".", k + 1), F.lit("."))).otherwise(F.col("path"))
 
     @F.pandas_udf("centre array<double>, radius double")
@@ -234,7 +235,7 @@ def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 3
     levels = [leaves.select("g", "path", "centre", "radius")]
     for k in range(depth - 1, -1, -1):
         up = levels[0].withColumn("up", prefix(k)).groupBy("g", "up").agg(F.collect_list("centre").alias("c"), F.collect_list("radius").alias("r"))
-        levels.insert(0, written(up.select("g", F.col("up").alias("path"), around("c", "r").alias("p")).select("g", "path", "p.*"), "level")[0])
+        levels.insert(0, scratch(up.select("g", F.col("up").alias("path"), around("c", "r").alias("p")).select("g", "path", "p.*"), "level"))
     top = levels[0].select("g", "path")
     pairs = top.alias("a").join(top.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.path") <= F.col("b.path"))).select(F.col("a.g").alias("g"), F.col("a.path").alias("p"), F.col("b.path").alias("q"))
     for k, level in enumerate(levels[1:]):
@@ -242,7 +243,7 @@ def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 3
         left, right = (child.select("g", F.col("up").alias(s), F.col("path").alias(s + "2"), F.col("centre").alias("c" + s), F.col("radius").alias("r" + s)) for s in "pq")
         apart = F.sqrt(F.aggregate(F.zip_with("cp", "cq", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         pairs = pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).where((F.col("p") != F.col("q")) | (F.col("p2") <= F.col("q2"))).where(apart <= F.col("rp") + F.col("rq") + tau + _EPS).select("g", F.col("p2").alias("p"), F.col("q2").alias("q"))
-        pairs, _ = written(pairs, "pairs")
+        pairs = scratch(pairs, "pairs")
     left, right = (leaves.select("g", F.col("path").alias(s), F.col("ids").alias("ids_" + s), F.col("weights").alias("w_" + s), F.col("body").alias("b_" + s)) for s in "pq")
 
     @F.pandas_udf("counts array<struct<id:long,n:long>>, forest array<struct<a:long,b:long>>")
@@ -259,6 +260,7 @@ def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 3
         return pd.DataFrame(out, columns=["counts", "forest"])
 
     decided, _ = written(pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).select(decide(F.col("p") == F.col("q"), "ids_p", "w_p", "b_p", "ids_q", "w_q", "b_q").alias("d")).select("d.*"), "decided")
+    scratch.drop()
     counts = decided.select(F.explode("counts").alias("c")).select("c.*").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, decided.select(F.explode("forest").alias("e")).select("e.*")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, relieved, written
+from .common import Scratch, components, relieved, written
 
 #: Row b has the bits of byte b, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -97,12 +97,12 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def links(nodes: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, block: int = 2048, scratch: Scratch | None = None) -> DataFrame:
     """(a, b) links between distinct fingerprints (nodes: fp) that connect just what links within the radius connect."""
     family = masks(radius)
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(family)])).alias("k")).select("k.t", "k.key", "fp")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared, _ = written(keyed.join(sizes, ["t", "key"]), "buckets")
+    shared = (scratch or Scratch(nodes.sparkSession))(keyed.join(sizes, ["t", "key"]), "buckets")
     small = shared.where(F.col("n") <= block).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
@@ -130,7 +130,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """One row per document: its id, fp (signed long) and component_id, the smallest id that links reach."""
     prints, _ = written(with_fingerprint(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), text, "fp", ngram, seed).select(key, "fp"), "fingerprints")
     nodes, _ = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    roots, _ = written(components(links(nodes.select("fp"), radius, block)), "roots")
+    scratch = Scratch(docs.sparkSession)
+    roots, _ = written(components(links(nodes.select("fp"), radius, block, scratch)), "roots")
+    scratch.drop()
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(classes, "root").select("fp", "component_id")

@@ -68,8 +68,8 @@ class Encoder:
         return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        after = f"{_MARK}" if self.led else f"{_MARK} "
-        ids = np.array(self._plain([b"".join(w + after.encode() for w in words).decode("utf-8")])[0], np.uint32)
+        after = _MARK.encode() if self.led else _MARK.encode() + b" "
+        ids = np.array(self._plain([(after.join(words) + after).decode("utf-8")])[0], np.uint32)
         ends = np.flatnonzero(ids == self.mark[-1])
         if len(ends) != len(words):
             raise ValueError("the marker word was lost")
@@ -103,7 +103,8 @@ class Encoder:
         odd = list(range(len(new))) if self.mark is None else [i for i, w in enumerate(new) if b"\0" in w or self.led and (w[0] > 32 or w[-1] < 33)]
         skip = set(odd)
         plain = [i for i in range(len(new)) if i not in skip] if odd else range(len(new))
-        got = [self._marked([new[j] for j in plain[i : i + TOGETHER]]) for i in range(0, len(plain), TOGETHER)]
+        words = [new[i] for i in plain] if odd else new
+        got = [self._marked(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
         if odd:
             got.append(self._apart([new[i] for i in odd]))
         flat, count = (np.concatenate([g[i] for g in got]) for i in (0, 1))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 3
@@ -64,13 +64,21 @@ def templates(shapes: DataFrame, fan: int = 12, rare: float = 0.05, z: float = 1
     """shapes (host, s1..sDEPTH, n, labelled, bad) with t1..tDEPTH: the segments after steps 2 and 3."""
     s = [f"s{i}" for i in range(1, DEPTH + 1)]
     t = [f"t{i}" for i in range(1, DEPTH + 1)]
-    tree, _ = written(shapes, "tree")
+    tree, path = written(shapes, "tree")
+
+    def step(df: DataFrame) -> DataFrame:
+        nonlocal path
+        new, at = written(df, "tree")
+        dropped(shapes.sparkSession, path)
+        path = at
+        return new
+
     for d in range(DEPTH):
         above = ["host", *t[:d]]
         child = tree.groupBy(*above, s[d]).agg(F.sum("n").alias("_n"))
         parent = child.groupBy(*above).agg(F.count("*").alias("_kids"), F.sum("_n").alias("_all"))
         named = child.join(parent, above).select(*above, s[d], F.when((F.col("_kids") >= fan) & (F.col("_n") < rare * F.col("_all")) & (F.col(s[d]) != ""), F.lit("*")).otherwise(F.col(s[d])).alias(t[d]))
-        tree, _ = written(tree.join(named, [*above, s[d]]), "tree")
+        tree = step(tree.join(named, [*above, s[d]]))
     for d in range(DEPTH - 1, -1, -1):
         above = ["host", *t[:d]]
         child = tree.groupBy(*above, t[d]).agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
@@ -79,7 +87,7 @@ def templates(shapes: DataFrame, fan: int = 12, rare: float = 0.05, z: float = 1
         # |bad - labelled x share| against z standard errors, without a division by the branch's own count
         alike = (F.col("_l") == 0) | (F.pow(F.col("_b") - F.col("_l") * share, F.lit(2)) <= z * z * F.col("_l") * share * (1 - share))
         named = child.join(parent, above).select(*above, t[d], F.when((F.col("_kids") > 1) & (F.col(t[d]) != "") & alike, F.lit("~")).otherwise(F.col(t[d])).alias("_t"))
-        tree, _ = written(tree.join(named, [*above, t[d]]).drop(t[d]).withColumnRenamed("_t", t[d]), "tree")
+        tree = step(tree.join(named, [*above, t[d]]).drop(t[d]).withColumnRenamed("_t", t[d]))
     return tree.select("host", *s, *t, "n", "labelled", "bad")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, packing, simhash
-from cairn.llm.common import table, written
+from cairn.llm.common import dropped, table, written
 from cairn.llm.registry import held_out
 
 
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs, path = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if last:
+            dropped(spark, last)
+        last = path
     return docs
