@@ -98,5 +98,13 @@ CASE WHEN c > 1 AND page_id IS DISTINCT FROM leader AND n >= 1000 THEN leader EN
 FROM d LEFT JOIN g USING (digest)"""
 
 
+OP2_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT id AS vec_id, min(reached) AS component_id FROM r GROUP BY id)"""
+PAGE_LABELS_SQL = "SELECT page_id, quality = 0 OR toxic = 1 AS bad FROM (SELECT page_id, try_cast(regexp_extract(coalesce(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '^[^/?#]*([^?#]*)', 1), ''), '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM pages) JOIN labels USING (doc_id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licences": licences.oracle(), "op9_archive": OP9_SQL}
+    return {"op2_covertree": OP2_SQL, "op4_urls": urls.oracle(RULES, PAGE_LABELS_SQL), "op8_licences": licences.oracle(), "op9_archive": OP9_SQL}

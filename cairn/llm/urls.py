@@ -110,3 +110,42 @@ def judged(pages: DataFrame, bad: DataFrame, rules: list[tuple[str, str, str]],
     known = tree.select("host", *s, *t).join(said, ["host", *t]).select("host", *s, "_said", "template")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     return rows.join(known, ["host", *s]).select(F.col("_key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("_said")).alias("verdict"), "template")
+
+
+def oracle(rules: list[tuple[str, str, str]], bad: str, fan: int = 12, rare: float = 0.05, z: float = 1.96, weight: float = 4.0, limit: float = 0.5) -> str:
+    """The SQL that judged must equal over pages (page_id, url); bad: a query of (page_id, bad)."""
+    s, t = [f"s{i}" for i in range(1, DEPTH + 1)], [f"t{i}" for i in range(1, DEPTH + 1)]
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END"
+    general = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 24 THEN '*' || regexp_extract(x, '(\\.[A-Za-z]{1,5})?$', 0) ELSE x END)".replace("\\\\", "\\")
+    parts = [f"coalesce(g[{i}], '') AS s{i}" for i in range(1, DEPTH)] + [f"CASE WHEN len(g) < {DEPTH} THEN '' ELSE array_to_string(g[{DEPTH}:], '/') END AS s{DEPTH}"]
+    with_ = [
+        f"cut AS (SELECT page_id, translate(coalesce(regexp_extract({rest}, '^[^/?#]*', 0), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"seg AS (SELECT page_id, host, path, {', '.join(parts)} FROM (SELECT *, {general} AS g FROM cut))",
+        f"lab AS (SELECT page_id, bool_or(bad) AS bad FROM ({bad}) WHERE bad IS NOT NULL GROUP BY page_id)",
+        f"tree0 AS (SELECT host, {', '.join(s)}, count(*) AS n, count(lab.bad) AS labelled, coalesce(sum(lab.bad::INT), 0) AS bad FROM seg LEFT JOIN lab USING (page_id) GROUP BY host, {', '.join(s)})",
+    ]
+    at = 0
+    for d in range(DEPTH):
+        above = ", ".join(["host", *t[:d]])
+        with_ += [
+            f"c{at} AS (SELECT {above}, {s[d]}, sum(n) AS k FROM tree{at} GROUP BY {above}, {s[d]})",
+            f"p{at} AS (SELECT {above}, count(*) AS kids, sum(k) AS total FROM c{at} GROUP BY {above})",
+            f"tree{at + 1} AS (SELECT tree{at}.*, CASE WHEN kids >= {fan} AND k < {rare} * total AND {s[d]} <> '' THEN '*' ELSE {s[d]} END AS {t[d]} FROM tree{at} JOIN c{at} USING ({above}, {s[d]}) JOIN p{at} USING ({above}))",
+        ]
+        at += 1
+    for d in range(DEPTH - 1, -1, -1):
+        above = ", ".join(["host", *t[:d]])
+        share = "(pb / nullif(pl, 0))"
+        with_ += [
+            f"c{at} AS (SELECT {above}, {t[d]}, sum(labelled) AS l, sum(bad) AS b FROM tree{at} GROUP BY {above}, {t[d]})",
+            f"p{at} AS (SELECT {above}, count(*) AS kids, sum(l) AS pl, sum(b) AS pb FROM c{at} GROUP BY {above})",
+            f"tree{at + 1} AS (SELECT tree{at}.* EXCLUDE ({t[d]}), CASE WHEN kids > 1 AND {t[d]} <> '' AND (l = 0 OR pow(b - l * {share}, 2) <= {z * z} * l * {share} * (1 - {share})) THEN '~' ELSE {t[d]} END AS {t[d]} FROM tree{at} JOIN c{at} USING ({above}, {t[d]}) JOIN p{at} USING ({above}))",
+        ]
+        at += 1
+    prior = "(SELECT coalesce(avg(bad::INT), 0) FROM lab)"
+    with_.append(f"said AS (SELECT host, {', '.join(t)}, CASE WHEN (sum(bad) + {weight} * {prior}) / (sum(labelled) + {weight}) >= {limit} THEN 'block' ELSE 'allow' END AS verdict FROM tree{at} GROUP BY host, {', '.join(t)})")
+    ordered = sorted(sorted(rules, key=lambda r: r[2]), key=lambda r: -len(r[0] + r[1]))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered) + " ELSE said.verdict END"
+    return f"WITH {', '.join(with_)} SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, concat_ws('/', host, {', '.join(t)}) AS template FROM seg JOIN tree{at} USING (host, {', '.join(s)}) JOIN said USING (host, {', '.join(t)})"
