@@ -58,12 +58,13 @@ def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     totals = sizes.agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len"))
-    hits = index.join(small(asked), "term").join(sizes, "row_id")
-    df = index.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    # a posting's gain is the same for all queries, so lengths and counts are joined before queries multiply the rows
+    matched = index.join(small(asked.select("term").distinct()), "term")
+    df = matched.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighted = hits.join(small(df), "term").join(F.broadcast(totals))
-    gain = F.col("times") * F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return weighted.groupBy("query_id", "row_id").agg((F.sum(gain) * 1e6).alias("score"))
+    gain = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    gains = matched.join(sizes, "row_id").join(small(df), "term").join(F.broadcast(totals)).select("term", "row_id", gain.alias("gain"))
+    return gains.join(small(asked), "term").groupBy("query_id", "row_id").agg((F.sum(F.col("times") * F.col("gain")) * 1e6).alias("score"))
 
 
 def top(hits: DataFrame, k: int, per: str = "query_id", score: str = "score", tie: str = "row_id") -> DataFrame:
@@ -85,9 +86,11 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, row_id: str, vector: str
 
     The queries are a stated set of checked size: every vector meets them where it lies, without a shuffle.
     """
-    asked = queries.select("query_id", "query_vec", F.size("query_vec").alias("dim"))
-    rows = vectors.select(F.col(row_id).alias("row_id"), F.col(vector).alias("_v"), F.size(vector).alias("dim"))
-    return rows.join(small(asked), "dim").select("query_id", "row_id", cosine(F.col("_v"), F.col("query_vec")).alias("score"))
+    norm = lambda v: F.sqrt(dot(v, v))
+    asked = queries.select("query_id", "query_vec", F.size("query_vec").alias("dim"), norm(F.col("query_vec")).alias("_qn"))
+    rows = vectors.select(F.col(row_id).alias("row_id"), F.col(vector).alias("_v"), F.size(vector).alias("dim"), norm(F.col(vector)).alias("_vn"))
+    score = F.try_divide(dot(F.col("_v"), F.col("query_vec")), F.col("_vn") * F.col("_qn"))
+    return rows.join(small(asked), "dim").select("query_id", "row_id", score.alias("score"))
 
 
 def scoped(rows: DataFrame, kb: str = "kb_id", knowledge: str = "knowledge_id", tag: str = "tag_id", chunk: str = "chunk_id", in_kb: Iterable = (), in_knowledge: Iterable = (), in_tag: Iterable = (), not_knowledge: Iterable = (), not_chunk: Iterable = ()) -> DataFrame:
