@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .tokens import encoded, width
 
-#: Sequences in a record batch.
-BATCH = 64
+#: Sequences in a record batch, and estimated input of a shard.
+BATCH, SHARD_BYTES = 64, 128 << 20
 
 
 def opened(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -131,8 +131,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([out.total]), pa.array([n])], ["shard", "n_tokens", "n_docs"])
 
-    session = docs.sparkSession
-    n = shards or int(session.conf.get("spark.sql.shuffle.partitions"))
+    # as many shards as the session's shuffles, or one for each SHARD_BYTES of input if that is more
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // SHARD_BYTES))
     return source.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, "shard long, n_tokens long, n_docs long")
 
 
