@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, langid, packing, simhash
+from cairn.llm import decontaminate, langid, packing, similar
 from cairn.llm.common import dropped, table, written
 from cairn.llm.registry import held_out
 
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    return simhash.dedup(docs, radius=3, ngram=5)
+    """One document of each group at a similarity of about 0.8 or more on five-word shingles, that with the smallest id."""
+    return similar.dedup(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import archive, covertree, decontaminate, langid, licences, maintext, packing, simhash, tokenfile, urls
+from cairn.llm import archive, covertree, decontaminate, langid, licences, maintext, packing, simhash, similar, tokenfile, urls
 from cairn.llm.common import new_path
 
 LONG = "lorem ipsum dolor sit amet " * 12_000
@@ -42,6 +42,12 @@ def test_simhash(spark, table):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == ([1, 2, 4, 8] if n else [])
 
 
+def test_similar(spark, table):
+    kept = similar.dedup(table)
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == ([1, 2, 4, 8] if table.count() else [])
+
+
 def test_packing(spark, table):
     path = public_tokenizers.path(BYTE)
     tokens = packing.tokenised(table, path, 1)

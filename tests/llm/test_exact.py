@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import archive, covertree, decontaminate, langid, maintext, packing, registry, simhash, tokens, urls
+from cairn.llm import archive, covertree, decontaminate, langid, maintext, packing, registry, simhash, similar, tokens, urls
 from cairn.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -114,6 +114,31 @@ def test_words_give_the_ids_of_the_whole(name, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_similar_texts_are_one_class(spark, block):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(55))
+    rows, family = [], {}
+    for base in range(12):
+        words = [word() for _ in range(200)]
+        for copy in range(1 if base % 3 == 2 else 8):
+            changed = list(words)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(200)] = word()
+            family[len(rows)] = base
+            rows.append((len(rows), " ".join(changed) + (f" {passage}" if base > 5 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, block=block).collect()}
+    least = {}
+    for i, base in family.items():
+        least.setdefault(base, i)
+    assert got == {i: least[base] for i, base in family.items()}
+    assert sorted(r.doc_id for r in similar.dedup(df, block=block).collect()) == sorted(least.values())
+    x = similar.lanes_of(rows[0][1], 3)
+    assert int(x[0]) == simhash.fingerprint(rows[0][1])
+
+
 def test_packing_query(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -268,9 +293,9 @@ def test_pipeline(spark):
     """run() against plain Python over the same texts."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     left = {d: t for d, t in rows.items() if t and any(c.isalpha() for c in t)}
-    prints = {d: slow_fingerprint(t, 5) for d, t in left.items()}
     ids = sorted(left)
-    want = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= 3])
+    prints = np.stack([similar.lanes_of(left[d]) for d in ids])
+    want = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 42])
     left = {ids[i]: left[ids[i]] for i in range(len(ids)) if want[i] == i}
     items = [decontaminate.normalised(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bodies = {d: decontaminate.normalised(t) for d, t in left.items()}
