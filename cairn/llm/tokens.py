@@ -58,6 +58,10 @@ class Encoder:
         self.apart = plain and steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed" and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
         mark = self._plain([_MARK])[0] if self.led or self.apart else []
         self.mark = np.array(mark, np.uint32) if mark and mark[-1] not in self._plain([" a.b"])[0] else None
+        # ASCII words come here in lower case, which the normaliser of such a tokenizer leaves as they are
+        self.bare = Tokenizer(self.tokenizer.model) if self.apart else self.tokenizer
+        if self.apart:
+            self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
         self._clear()
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -67,9 +71,9 @@ class Encoder:
         got = self._plain([w.decode("utf-8") for w in words])
         return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _marked(self, words: list[bytes], by: object) -> tuple[np.ndarray, np.ndarray]:
         after = _MARK.encode() if self.led else _MARK.encode() + b" "
-        ids = np.array(self._plain([(after.join(words) + after).decode("utf-8")])[0], np.uint32)
+        ids = np.array(by.encode_batch_fast([(after.join(words) + after).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(ids == self.mark[-1])
         if len(ends) != len(words):
             raise ValueError("the marker word was lost")
@@ -103,8 +107,12 @@ class Encoder:
         odd = list(range(len(new))) if self.mark is None else [i for i, w in enumerate(new) if b"\0" in w or self.led and (w[0] > 32 or w[-1] < 33)]
         skip = set(odd)
         plain = [i for i in range(len(new)) if i not in skip] if odd else range(len(new))
-        words = [new[i] for i in plain] if odd else new
-        got = [self._marked(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        if self.bare is not self.tokenizer:
+            some, rest = [i for i in plain if new[i].isascii()], [i for i in plain if not new[i].isascii()]
+            groups, plain = [(some, self.bare), (rest, self.tokenizer)], [*some, *rest]
+        else:
+            groups = [(plain, self.tokenizer)]
+        got = [self._marked([new[j] for j in some[i : i + TOGETHER]], by) for some, by in groups for i in range(0, len(some), TOGETHER)]
         if odd:
             got.append(self._apart([new[i] for i in odd]))
         flat, count = (np.concatenate([g[i] for g in got]) for i in (0, 1))
