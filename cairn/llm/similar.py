@@ -6,16 +6,19 @@ three more lanes from mixed hashes of the same shingles. Two texts are linked if
 mean at a similarity of 0.78; texts at 0.87 or more are linked with over 98 % probability, texts at 0.6 with under 1 %).
 
 Search: the covering tables of ``simhash`` on the first lane (every pair within 3 bits of it collides), and tables that
-key disjoint sets of ``bits`` bits in each of ``rounds`` seeded permutations of all 256. A bucket of up to ``block``
+key disjoint sets of bits in seeded permutations of all 256. A set has four bits more than the logarithm of the number
+of texts, so chance fills few buckets at any size, and there are as many tables as find a pair at a similarity of 0.85
+with 98 % probability. A bucket of up to ``block``
 nodes is compared in one task and gives a spanning forest; a larger one is dealt into blocks by a hash and every pair of
-its blocks is a task of its own, so no link in it is lost. Equal fingerprints are one node. ``bits`` should grow with
-the logarithm of the number of texts (20 serves some ten millions) and ``rounds`` with it.
+its blocks is a task of its own, so no link in it is lost. Equal fingerprints are one node.
 
 Defined results: as in ``simhash``; the documents that stay keep all their columns, whatever the names of these.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -50,11 +53,13 @@ def lanes_of(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
     return np.packbits(votes * 2 > len(first), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def tables(bits: int, rounds: int, seed: int = 1) -> list[tuple[int, ...]]:
-    """A mask over the four lanes for each table."""
+def tables(texts: int, found: float = 0.98, agree: float = 0.867, seed: int = 1) -> list[tuple[int, ...]]:
+    """A mask over the four lanes for each table. agree: the share of equal bits of pairs that are found with probability found."""
+    bits = max(16, math.ceil(math.log2(max(2, texts))) + 4)
+    wanted = math.log(1 - found) / math.log(1 - agree**bits)
     out = [(m, 0, 0, 0) for m in masks(3)]
     rng = np.random.default_rng(seed)
-    for _ in range(rounds):
+    for _ in range(math.ceil(wanted / (64 * LANES // bits))):
         order = rng.permutation(64 * LANES)
         for i in range(0, len(order) - bits + 1, bits):
             mask = [0] * LANES
@@ -85,10 +90,10 @@ def forest(x: np.ndarray, far: int) -> list[tuple[int, int]]:
     return found
 
 
-def links(nodes: DataFrame, far: int, bits: int, rounds: int, block: int, scratch: Scratch) -> DataFrame:
+def links(nodes: DataFrame, far: int, block: int, scratch: Scratch) -> DataFrame:
     """(a, b) links of nodes (id, l0..l3) that connect what pairs within far bits in a common bucket connect."""
     lanes = [f"l{i}" for i in range(LANES)]
-    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, mask, strict=True) if m]) for t, mask in enumerate(tables(bits, rounds))]
+    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, mask, strict=True) if m]) for t, mask in enumerate(tables(nodes.count()))]
     keyed = nodes.select("id", F.explode(F.array(*keys)).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch(keyed.join(sizes, "bucket").join(nodes, "id"), "wide")
@@ -111,7 +116,7 @@ def links(nodes: DataFrame, far: int, bits: int, rounds: int, block: int, scratc
     return found.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, far: int = 42, bits: int = 20, rounds: int = 6, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, far: int = 42, block: int = 2048) -> DataFrame:
     """One row per document: its id, and component_id, the smallest id that links reach."""
 
     @F.pandas_udf("l0 long, l1 long, l2 long, l3 long")
@@ -125,7 +130,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     prints, _ = written(docs.select(F.col(f"`{key}`").alias("_key"), of(F.col(f"`{text}`").cast("string")).alias("p")).select("_key", "p.*"), "fingerprints")
     scratch = Scratch(docs.sparkSession)
     nodes = scratch(prints.groupBy(*lanes).agg(F.min("_key").alias("least")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    roots = scratch(components(links(nodes.select("id", *lanes), far, bits, rounds, block, scratch)), "roots")
+    roots = scratch(components(links(nodes.select("id", *lanes), far, block, scratch)), "roots")
     rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known, _ = written(rooted.join(classes, "root").select(*lanes, "component_id"), "known")
