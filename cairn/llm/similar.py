@@ -1,36 +1,40 @@
-"""Near-duplicates of a stated similarity by wide SimHash fingerprints, for the pipeline.
+"""Near-duplicates by the exact Jaccard similarity of the sets of five-word shingles, for the pipeline.
 
-A radius of 3 bits in 64 finds copies that differ in few words of many, but texts whose sets of five-word shingles have
-a Jaccard similarity of 0.8 differ in about ten of 64 bits. Here a fingerprint is 256 bits: the 64 of ``simhash`` and
-three more lanes from mixed hashes of the same shingles. Two texts are linked if at most ``far`` bits differ (42: the
-mean at a similarity of 0.78; texts at 0.87 or more are linked with over 98 % probability, texts at 0.6 with under 1 %).
+Two texts are linked if their sets of shingle hashes (XXH64, of A-Z in lower case) share at least ``share`` per cent of
+their union. Nothing is estimated and no pair is lost, at any number of texts:
 
-Search: the covering tables of ``simhash`` on the first lane (every pair within 3 bits of it collides), and tables that
-key disjoint sets of bits in seeded permutations of all 256. A set has four bits more than the logarithm of the number
-of texts, so chance fills few buckets at any size, and there are as many tables as find a pair at a similarity of 0.85
-with 98 % probability. A bucket of up to ``block``
-nodes is compared in one task and gives a spanning forest; a larger one is dealt into blocks by a hash and every pair of
-its blocks is a task of its own, so no link in it is lost. Equal fingerprints are one node.
+Search: all sets are sorted by one total order. Two sets of that similarity share an element among the first
+n - ceil(share x n) + 1 of each (n: its own size), its head, so texts are posted under the elements of their heads and
+compared where these meet. The order is by count in a sample of the texts, then by hash; it puts common passages last, and
+only the time depends on the sample. A pair is dropped unread if its sizes, or what can follow its first common element, rule
+the similarity out.
 
-Defined results: as in ``simhash``; the documents that stay keep all their columns, whatever the names of these.
+Every text is compared with the smallest one under each element first. What these links do not connect yet is paired in
+full: elements of up to ``block`` texts in one task, larger ones dealt into blocks by a hash and every pair of blocks a
+task of its own. Each proposed pair is verified on the whole sets, which are hashed again from the texts. Equal sets are
+one node.
+
+Defined results: texts without words have the empty set and are equal; repeated rows get the same component; a null id
+names a component only if all its members have null ids; the documents that stay keep all their columns, whatever the
+names of these.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, relieved, written
-from .simhash import _AT_ONCE, _BITS, _LANE, _signed, masks
+from .simhash import _AT_ONCE, _BITS, _LANE
 
 LANES = 4
 #: Odd multipliers that make further lanes of a hash.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Texts whose shingles are counted for the order, and the most shingles that it ranks.
+SAMPLE, RANKED = 8192, 200_000
 
 
 def lanes_of(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
@@ -53,89 +57,148 @@ def lanes_of(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
     return np.packbits(votes * 2 > len(first), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def tables(texts: int, found: float = 0.98, agree: float = 0.867, seed: int = 1) -> list[tuple[int, ...]]:
-    """A mask over the four lanes for each table. agree: the share of equal bits of pairs that are found with probability found."""
-    bits = max(16, math.ceil(math.log2(max(2, texts))) + 4)
-    wanted = math.log(1 - found) / math.log(1 - agree**bits)
-    out = [(m, 0, 0, 0) for m in masks(3)]
-    rng = np.random.default_rng(seed)
-    for _ in range(math.ceil(wanted / (64 * LANES // bits))):
-        order = rng.permutation(64 * LANES)
-        for i in range(0, len(order) - bits + 1, bits):
-            mask = [0] * LANES
-            for b in order[i : i + bits].tolist():
-                mask[b // 64] |= 1 << b % 64
-            out.append(tuple(mask))
-    return out
-
-
-def forest(x: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the rows of x (nodes by lanes) with at most far bits between them."""
-    if len(x) == 2:
-        return [(0, 1)] if int(np.bitwise_count(x[0] ^ x[1]).sum()) <= far else []
-    root, found = list(range(len(x))), []
-
-    def up(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def shingles(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted set of a text's shingle hashes; empty for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, joined, h = len(words), b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    size = min(n, ngram)
+    first = np.concatenate(([0], ends[: n - size] + 1)).tolist()
+    return np.unique(np.fromiter((h(joined[a:b], seed) for a, b in zip(first, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(first)))
+
+
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed longs."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
+    return a, b
+
+
+def head(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray, share: int) -> np.ndarray:
+    """What a set is posted under: its first elements by (count, hash). ranked: sorted hashes with counts; others have 0."""
+    if not len(hashes):
+        return hashes
+    count = np.zeros(len(hashes), np.int64)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+        count = np.where(ranked[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(count, kind="stable")][: len(hashes) + (-share * len(hashes)) // 100 + 1]
+
+
+def reaches(common: np.ndarray, n: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
+    """Whether sets of n and m elements with so many in common have the similarity."""
+    return common * (100 + share) >= share * (n + m)
 
+
+def pairs_under(x: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of rows (root, size, place of the common element) to compare: of two roots and not ruled out."""
+    a, b = [], []
     for i in range(len(x) - 1):
-        for j in (np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]).sum(1, dtype=np.int64) <= far) + i + 1).tolist():
-            a, b = up(i), up(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                found.append((i, j))
-    return found
-
-
-def links(nodes: DataFrame, far: int, block: int, scratch: Scratch) -> DataFrame:
-    """(a, b) links of nodes (id, l0..l3) that connect what pairs within far bits in a common bucket connect."""
-    lanes = [f"l{i}" for i in range(LANES)]
-    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, mask, strict=True) if m]) for t, mask in enumerate(tables(nodes.count()))]
-    keyed = nodes.select("id", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch(keyed.join(sizes, "bucket").join(nodes, "id"), "wide")
-    member = F.struct("id", *lanes)
-    small = shared.where(F.col("n") <= block).groupBy("bucket").agg(F.collect_list(member).alias("m")).select("m")
-    blocks = F.ceil(F.col("n") * 1.25 / block).cast("int")
-    dealt = shared.where(F.col("n") > block).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = paired.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m")).select("m")
+        y = x[i + 1 :]
+        most = np.minimum(x[i, 1] - x[i, 2], y[:, 1] - y[:, 2])
+        j = np.flatnonzero((y[:, 0] != x[i, 0]) & reaches(most, x[i, 1], y[:, 1], share)) + i + 1
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def order_of(texts: DataFrame, ngram: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of a sample of texts (_key, _text) share, sorted, and their counts."""
+
+    @F.pandas_udf("array<long>")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, ngram).view(np.int64) for t in values], dtype=object)
+
+    some = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, texts.count())))
+    counted = texts.where(some).select(F.explode(of("_text")).alias("h")).groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
+    ranked, counts = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    by = np.argsort(ranked)
+    return ranked[by], counts[by]
+
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def inside(ids: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes (id, least, d0, d1) whose whole sets have the similarity."""
+
+    @F.pandas_udf("d0 long, d1 long, hashes binary")
+    def of(values: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, ngram) for t in values]
+        return pd.DataFrame({"d0": [digest(s)[0] for s in sets], "d1": [digest(s)[1] for s in sets], "hashes": [s.tobytes() for s in sets]})
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for one, *x in zip(ids, a, b, c, d, strict=True):
-            rows = np.stack([np.asarray(v, np.int64) for v in x], 1).view(np.uint64)
-            out.append([{"a": int(one[i]), "b": int(one[j])} for i, j in forest(rows, far)])
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            out.append(bool(reaches(np.int64((x[at] == y).sum()), np.int64(len(x)), np.int64(len(y)), share)))
         return pd.Series(out)
 
-    found = small.unionByName(large).select(inside(F.col("m.id"), *[F.col(f"m.{c}") for c in lanes]).alias("e"))
-    return found.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "least", "d0", "d1"), "id")
+    # ids can be repeated with other texts: the digest tells which is meant
+    read = texts.join(used, F.col("_key").eqNullSafe(F.col("least"))).select("id", "d0", "d1", of("_text").alias("s"))
+    sets = scratch(read.where("s.d0 = d0 and s.d1 = d1").select("id", "s.hashes").dropDuplicates(["id"]), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y")), "b")
+    return scratch(both.where(close("_x", "_y")).select("a", "b"), "links")
+
+
+def links(nodes: DataFrame, texts: DataFrame, ngram: int, share: int, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links of nodes (id, least, d0, d1, n, head) that connect just what all pairs of the similarity connect."""
+    posted = nodes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
+    shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("id", "n", "at")).alias("lead")).where("k > 1"), "h"), "posted")
+
+    def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
+        return F.least(n - i, m - j) * (100 + share) >= (n + m) * share
+
+    stars = shared.where("id <> lead.id").where(possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    first = verified(scratch(stars.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "stars"), nodes, texts, ngram, share, scratch)
+    roots = components(first).withColumnRenamed("node", "id")
+    rooted = scratch(shared.select("h", "id", "n", "at", "k").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    open_ = rooted.join(rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("h"), "h")
+    member = F.struct("id", "root", "n", "at")
+    small = open_.where(F.col("k") <= block).groupBy("h").agg(F.collect_list(member).alias("m")).select("m")
+    dealt = open_.where(F.col("k") > block).withColumn("blocks", F.ceil(F.col("k") * 1.25 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = paired.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m")).select("m")
 
+    @F.pandas_udf("a array<long>, b array<long>")
+    def under(ids: pd.Series, root: pd.Series, n: pd.Series, at: pd.Series) -> pd.DataFrame:
+        out = []
+        for one, *x in zip(ids, root, n, at, strict=True):
+            one = np.asarray(one, np.int64)
+            i, j = pairs_under(np.stack([np.asarray(v, np.int64) for v in x], 1), share)
+            out.append((np.minimum(one[i], one[j]), np.maximum(one[i], one[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    proposed = small.unionByName(large).select(under(*[F.col(f"m.{c}") for c in ("id", "root", "n", "at")]).alias("p"))
+    rest = scratch(proposed.select(F.explode(F.arrays_zip("p.a", "p.b")).alias("p")).select("p.a", "p.b").distinct(), "rest")
+    return first.unionByName(verified(rest, nodes, texts, ngram, share, scratch))
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, far: int = 42, block: int = 2048) -> DataFrame:
-    """One row per document: its id, and component_id, the smallest id that links reach."""
 
-    @F.pandas_udf("l0 long, l1 long, l2 long, l3 long")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = np.array([lanes_of(t, ngram) for t in texts], np.uint64).reshape(-1, LANES).view(np.int64)
-        del texts
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, share: int = 80, block: int = 2048) -> DataFrame:
+    """One row per document: its id, and component_id, the smallest id that links reach."""
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    ranked, counts = order_of(texts, ngram)
+
+    @F.pandas_udf("d0 long, d1 long, n int, head array<long>")
+    def of(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in values:
+            s = shingles(t, ngram)
+            rows.append((*digest(s), len(s), head(s, ranked, counts, share).view(np.int64)))
+        del values
         relieved()
-        return pd.DataFrame(out, columns=[f"l{i}" for i in range(LANES)])
+        return pd.DataFrame(rows, columns=["d0", "d1", "n", "head"])
 
-    lanes = [f"l{i}" for i in range(LANES)]
-    prints, _ = written(docs.select(F.col(f"`{key}`").alias("_key"), of(F.col(f"`{text}`").cast("string")).alias("p")).select("_key", "p.*"), "fingerprints")
+    prints, _ = written(texts.select("_key", of("_text").alias("p")).select("_key", "p.*"), "shingles")
     scratch = Scratch(docs.sparkSession)
-    nodes = scratch(prints.groupBy(*lanes).agg(F.min("_key").alias("least")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    roots = scratch(components(links(nodes.select("id", *lanes), far, block, scratch)), "roots")
-    rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    nodes = scratch(prints.groupBy("d0", "d1").agg(F.min("_key").alias("least"), F.first("n").alias("n"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    roots = scratch(components(links(nodes, texts, ngram, share, block, scratch)), "roots")
+    rooted = nodes.select("id", "d0", "d1", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known, _ = written(rooted.join(classes, "root").select(*lanes, "component_id"), "known")
+    known, _ = written(rooted.join(classes, "root").select("d0", "d1", "component_id"), "known")
     scratch.drop()
-    return prints.join(known, lanes).select(F.col("_key").alias(key), "component_id")
+    return prints.join(known, ["d0", "d1"]).select(F.col("_key").alias(key), "component_id")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
