@@ -17,16 +17,21 @@ from cairn.llm import decontaminate, langid, packing, similar
 from cairn.llm.common import dropped, table, written
 from cairn.llm.registry import held_out
 
+#: The least pooled probability of a language; below it no language holds half of a text.
+LEAST = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network names; those without any letter go."""
+    """Documents with a letter for which the network gives one language LEAST or more; all with a letter where no label taught it."""
     model = langid.fit(docs, F.coalesce(~held_out(), F.lit(False)))
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     to = tuple(f"{x}_{uuid.uuid4().hex}" for x in ("language", "score"))
-    return langid.predict(docs, model, to=to).where(F.col(to[0]) != "und").select(*docs.columns)
+    return langid.predict(docs, model, to=to).where((F.col(to[0]) != "und") & (F.col(to[1]) >= LEAST)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of about 0.8 or more on five-word shingles, that with the smallest id."""
+    """One document of each group linked at a similarity of 0.8 or more on five-word shingles, that with the smallest id."""
     return similar.dedup(docs)
 
 
