@@ -2,7 +2,8 @@
 
 The standard library's parser feeds events; a line is the text between two block boundaries, with its characters, its
 tags and its open elements. Lines in parts that say what they are (menus, page headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts, styles, hidden parts) are left out. The ratio of characters to tags of the
+adverts, forms, reader comments, scripts, styles, hidden parts) are left out; class words do not leave out what holds the
+largest article or main element or, with none, nearly all characters, nor a header in an article. The ratio of characters to tags of the
 other lines is smoothed by a Gaussian, and lines at or over the threshold (a share of the standard deviation below the
 mean) are the content cluster. The content region is the article or main element with the most content characters, or
 else the smallest element that holds nearly all of them; every remaining line of it is kept, short ones too.
@@ -49,18 +50,26 @@ def _left_out(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and WORDS.intersection(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-            return True
         if name in ("class", "id") and tag == "article" and {"comment", "ad", "related", "teaser", "promo"} & set(_WORD.findall(value.lower())):
             return True
     return False
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether class or id words say that it is not main text; a header in an article is a part of it."""
+    if tag in ("body", "html", "article", "main"):
+        return False
+    words = {w for name, value in attrs if name in ("class", "id") for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value or "").lower())}
+    return bool(WORDS & words - ({"header"} if in_article else set()))
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, open elements) of each line that is not left out."""
+    """Collects (text, tags, open elements) of each line that is not left out. keep: elements that class words do not drop."""
 
-    def __init__(self) -> None:
+    def __init__(self, keep: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.keep, self.by_name, self.inside = keep, set(), {}  # dropped by class words; element to characters
+        self.above: dict[int, tuple[int, ...]] = {}
         self.stack: list[tuple[str, int, bool]] = []  # tag, number of the element, left out
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.kind: dict[int, str] = {}
@@ -97,8 +106,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out = _left_out(tag, attrs, any(t in ("article", "main") for t, _, _ in self.stack))
+        in_article = any(t in ("article", "main") for t, _, _ in self.stack)
+        out = _left_out(tag, attrs, in_article)
         self.count += 1
+        if not out and self.count not in self.keep and _named(tag, attrs, in_article):
+            self.by_name.add(self.count)
+            out = True
         self.kind[self.count] = tag
         if out and not self.out:
             self.line()
@@ -122,6 +135,23 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.size.append(data)
+        n = len(data) - data.count(" ")
+        if n and (not self.out or all(not out or e in self.by_name for _, e, out in self.stack)):
+            above: tuple[int, ...] = ()
+            self.inside[0] = self.inside.get(0, 0) + n
+            for tag, e, out in self.stack:
+                if out:
+                    above = (*above, e)
+                if out or tag in ("article", "main"):
+                    self.inside[e] = self.inside.get(e, 0) + n
+                    self.above[e] = above
+
+    def wrappers(self, nearly: float) -> frozenset[int]:
+        """Elements that class words dropped though they hold the largest article or main, or with none nearly all characters."""
+        named = [e for e in self.inside if e and self.kind[e] in ("article", "main")]
+        if named:
+            return frozenset(self.above[max(named, key=lambda e: (self.inside[e], -e))])
+        return frozenset(e for e in self.by_name if self.inside.get(e, 0) >= nearly * self.inside.get(0, 0) > 0)
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -133,10 +163,16 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 def main_text(html: str | None, sigma: float = 1.0, below: float = 1.0, nearly: float = 0.9) -> str:
     """The main text; sigma and below (standard deviations under the mean) shape the content cluster."""
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.line()
+    keep: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(keep)
+        parser.feed(html or "")
+        parser.close()
+        parser.line()
+        more = parser.wrappers(nearly) - keep
+        if not more:
+            break
+        keep |= more
     lines = parser.lines
     if not lines:
         return ""
