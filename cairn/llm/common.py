@@ -5,18 +5,21 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, has a default."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -44,6 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_digest(key: str, text: str) -> Column:
+    """128 bits of a row's id and text together, which tell rows apart where ids are null or repeat."""
+    k, t = F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(k).cast("string"), F.lit("")), F.lit(":"), F.coalesce(k, F.lit("")), F.when(t.isNull(), "-").otherwise("+"), F.coalesce(t, F.lit("")))))
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, key: str, text: str, repeats: bool) -> DataFrame:
+    """The rows of docs that kept (_row: digests) names, one of those that repeat both id and text (repeats: there are such)."""
+    name = "row_" + uuid.uuid4().hex
+    keyed = docs.withColumn(name, row_digest(key, text))
+    if repeats:
+        keyed = keyed.dropDuplicates([name])  # its partial step leaves one row of a group of repeats in each task
+    return keyed.join(kept.withColumnRenamed("_row", name), name, "left_semi").drop(name)
+
+
 class Scratch:
     """Written tables of one computation, deleted together when its own result is written."""
 
@@ -68,13 +86,13 @@ def relieved() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: long): root is the smallest node that links reach.
 
     Alternates large-star and small-star contractions until the edges stay as they are. A star's minimum is a
     partial aggregate and reaches its edges again by a join whose skewed keys adaptive execution can split, so that
-    no node gathers its neighbours in one task. Each round is a written table. Self-links, repeated edges and nulls
-    are dropped.
+    no node gathers its neighbours in one task. Each round is a written table, and the last one goes to scratch.
+    Self-links, repeated edges and nulls are dropped.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -94,4 +112,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now, path = new, new_at
     else:
         raise RuntimeError("components did not settle")
+    scratch.paths.append(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -203,9 +203,8 @@ def _split(points: DataFrame, cap: int, fan: int, scratch: Scratch) -> tuple[Dat
     return scratch(done.select(*points.columns, "path"), "placed"), level
 
 
-def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 32) -> tuple[DataFrame, DataFrame]:
+def links(points: DataFrame, cosine: float, cap: int, fan: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """For distinct points (g: group, id: long, weight: long, vec): (id, linked weight) and connecting links (a, b)."""
-    scratch = Scratch(points.sparkSession)
     placed, depth = _split(points, cap, fan, scratch)
     tau = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -259,8 +258,7 @@ def links(points: DataFrame, cosine: float = 0.98, cap: int = 2048, fan: int = 3
             out.append((counts, [{"a": int(ip[i]), "b": int(iq[j])} for i, j in forest]))
         return pd.DataFrame(out, columns=["counts", "forest"])
 
-    decided, _ = written(pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).select(decide(F.col("p") == F.col("q"), "ids_p", "w_p", "b_p", "ids_q", "w_q", "b_q").alias("d")).select("d.*"), "decided")
-    scratch.drop()
+    decided = scratch(pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).select(decide(F.col("p") == F.col("q"), "ids_p", "w_p", "b_p", "ids_q", "w_q", "b_q").alias("d")).select("d.*"), "decided")
     counts = decided.select(F.explode("counts").alias("c")).select("c.*").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, decided.select(F.explode("forest").alias("e")).select("e.*")
 
@@ -271,12 +269,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("ok", _valid("vec") & F.col("label").isNotNull()).withColumn("g", F.concat_ws("/", F.size("vec").cast("string"), "label"))
     good = rows.where("ok")
     # a point of equal vectors is named by a number of its own, for keys may be null or repeat
-    points, _ = written(good.groupBy("g", "vec").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()), "distinct")
-    counts, forest = links(points.select("g", "id", "weight", "vec"), cosine, cap, fan)
-    roots, _ = written(components(forest), "roots")
+    scratch = Scratch(vectors.sparkSession)
+    points = scratch(good.groupBy("g", "vec").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    counts, forest = links(points.select("g", "id", "weight", "vec"), cosine, cap, fan, scratch)
+    roots = components(forest, scratch)
     named = points.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.join(classes, "root").join(counts, "id", "left").select("g", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     linked_rows = good.join(known, ["g", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked_rows.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    done, _ = written(linked_rows.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "linked")
+    scratch.drop()
+    return done

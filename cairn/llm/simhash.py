@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, relieved, written
+from .common import Scratch, components, relieved, row_digest, rows_of, written
 
 #: Row b has the bits of byte b, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -36,6 +36,11 @@ _LANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _AT_ONCE = 1 << 18
 
 
+def set_in(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return (np.bincount((hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+
+
 def fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
     """The unsigned 64-bit fingerprint of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -49,8 +54,7 @@ def fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
     last = ends[ngram - 1 :].tolist()
     votes = np.zeros(64, np.int64)
     for i in range(0, len(first), _AT_ONCE):
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(first[i : i + _AT_ONCE], last[i : i + _AT_ONCE], strict=True)], "<u8")
-        votes += (np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+        votes += set_in(np.array([h(joined[a:b], seed) for a, b in zip(first[i : i + _AT_ONCE], last[i : i + _AT_ONCE], strict=True)], "<u8"))
     return int(np.packbits(votes * 2 > len(first), bitorder="little").view("<u8")[0])
 
 
@@ -97,12 +101,12 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def links(nodes: DataFrame, radius: int = 3, block: int = 2048, scratch: Scratch | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int, block: int, scratch: Scratch) -> DataFrame:
     """(a, b) links between distinct fingerprints (nodes: fp) that connect just what links within the radius connect."""
     family = masks(radius)
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(family)])).alias("k")).select("k.t", "k.key", "fp")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = (scratch or Scratch(nodes.sparkSession))(keyed.join(sizes, ["t", "key"]), "buckets")
+    shared = scratch(keyed.join(sizes, ["t", "key"]), "buckets")
     small = shared.where(F.col("n") <= block).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
@@ -126,20 +130,31 @@ def links(nodes: DataFrame, radius: int = 3, block: int = 2048, scratch: Scratch
     return near.unionByName(stars).distinct()
 
 
+def _grouped(docs: DataFrame, key: str, text: str, radius: int, ngram: int, seed: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (_key, _row, fp) and what is known of each fingerprint: fp, rep (null, _key and _row of its component's first row)."""
+    named = docs.select(F.col(f"`{key}`").alias("_key"), row_digest(key, text).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    prints = scratch(with_fingerprint(named, "_text", "fp", ngram, seed).select("_key", "_row", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("_key").isNull().alias("null"), "_key", "_row"))
+    nodes = scratch(prints.groupBy("fp").agg(first.alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), radius, block, scratch), scratch)
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("rep")), "root").select("fp", "rep")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, ngram: int = 3, seed: int = 42, block: int = 2048) -> DataFrame:
     """One row per document: its id, fp (signed long) and component_id, the smallest id that links reach."""
-    prints, _ = written(with_fingerprint(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), text, "fp", ngram, seed).select(key, "fp"), "fingerprints")
-    nodes, _ = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     scratch = Scratch(docs.sparkSession)
-    roots, _ = written(components(links(nodes.select("fp"), radius, block, scratch)), "roots")
+    prints, known = _grouped(docs, key, text, radius, ngram, seed, block, scratch)
+    done, _ = written(prints.join(known, "fp").select(F.col("_key").alias(key), "fp", F.col("rep._key").alias("component_id")), "simhash")
     scratch.drop()
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(classes, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select(key, "fp", "component_id")
+    return done
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; a row that repeats an id goes too."""
-    kept = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key])
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, ngram: int = 3, seed: int = 42, block: int = 2048) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (null last), and among equal ids of the smallest text digest."""
+    scratch = Scratch(docs.sparkSession)
+    prints, known = _grouped(docs, key, text, radius, ngram, seed, block, scratch)
+    kept, _ = written(known.select("rep._row").distinct(), "kept")
+    repeats = not prints.groupBy("_row").count().where("count > 1").isEmpty()
+    scratch.drop()
+    return rows_of(docs, kept, key, text, repeats)

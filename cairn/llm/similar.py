@@ -1,22 +1,24 @@
 """Near-duplicates by the exact Jaccard similarity of the sets of five-word shingles, for the pipeline.
 
 Two texts are linked if their sets of shingle hashes (XXH64, of A-Z in lower case) share at least ``share`` per cent of
-their union. Nothing is estimated and no pair is lost, at any number of texts:
-
-Search: all sets are sorted by one total order. Two sets of that similarity share an element among the first
-n - ceil(share x n) + 1 of each (n: its own size), its head, so texts are posted under the elements of their heads and
-compared where these meet. The order is by count in a sample of the texts, then by hash; it puts common passages last, and
-only the time depends on the sample. A pair is dropped unread if its sizes, or what can follow its first common element, rule
-the similarity out.
-
-Every text is compared with the smallest one under each element first. What these links do not connect yet is paired in
-full: elements of up to ``block`` texts in one task, larger ones dealt into blocks by a hash and every pair of blocks a
-task of its own. Each proposed pair is verified on the whole sets, which are hashed again from the texts. Equal sets are
-one node.
+their union. Candidates come from two searches, and every one is verified on the whole sets, which are hashed again from
+the texts. Equal sets are one node.
+
+1. The covering tables of ``simhash``: nodes whose 64-bit fingerprints (of the sets) differ in at most ``radius`` bits.
+   They connect the closest copies; at a similarity of 0.8 about ten bits differ, which no covering family reaches.
+2. Prefix filtering, which loses no pair at any number of texts: all sets are sorted by one total order. Two sets of that
+   similarity share an element among the first n - ceil(share x n) + 1 of each (n: its own size), its head, so texts are
+   posted under the elements of their heads and compared where these meet. The order is by count in a sample of the texts,
+   then by hash; it puts common passages last, and only the time depends on the sample. A pair is dropped unread if its
+   sizes, or what can follow its first common element, rule the similarity out. Every text is compared with the smallest
+   one under each element first. What all these links do not connect yet is paired in full: elements of up to ``block``
+   texts in one task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own.
 
 Defined results: texts without words have the empty set and are equal; repeated rows get the same component; a null id
-names a component only if all its members have null ids; the documents that stay keep all their columns, whatever the
-names of these.
+names a component only if all its members have null ids; one row of each component stays, that with the smallest id (null
+last) and among equal ids of the smallest text digest, so unlike texts under one id or under null ids stay; very long
+texts are hashed whole; an empty table gives no rows; the documents that stay keep all their columns, whatever the names
+of these.
 """
 
 from __future__ import annotations
@@ -27,34 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, relieved, written
-from .simhash import _AT_ONCE, _BITS, _LANE
+from . import simhash
+from .common import Scratch, components, relieved, row_digest, rows_of, written
 
-LANES = 4
-#: Odd multipliers that make further lanes of a hash.
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Texts whose shingles are counted for the order, and the most shingles that it ranks.
 SAMPLE, RANKED = 8192, 200_000
-
-
-def lanes_of(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
-    """The four 64-bit lanes of a text's fingerprint; zeros for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(LANES, np.uint64)
-    n, joined, h = len(words), b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    size = min(n, ngram)
-    first = np.concatenate(([0], ends[: n - size] + 1)).tolist()
-    last = ends[size - 1 :].tolist()
-    votes = np.zeros((LANES, 64), np.int64)
-    for i in range(0, len(first), _AT_ONCE):
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(first[i : i + _AT_ONCE], last[i : i + _AT_ONCE], strict=True)], "<u8")
-        for lane in range(LANES):
-            x = hashes if not lane else (hashes ^ hashes >> np.uint64(32)) * np.uint64(_MIX[lane - 1])
-            x = x if not lane else x ^ x >> np.uint64(29)
-            votes[lane] += (np.bincount((x.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return np.packbits(votes * 2 > len(first), axis=1, bitorder="little").view("<u8").ravel()
+#: The most rows (of 32 bytes) that are broadcast.
+SENT = 500_000
 
 
 def shingles(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
@@ -75,6 +56,11 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set as a signed long."""
+    return int(np.packbits(simhash.set_in(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+
+
 def head(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray, share: int) -> np.ndarray:
     """What a set is posted under: its first elements by (count, hash). ranked: sorted hashes with counts; others have 0."""
     if not len(hashes):
@@ -104,59 +90,72 @@ def pairs_under(x: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def order_of(texts: DataFrame, ngram: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several of a sample of texts (_key, _text) share, sorted, and their counts."""
+    """Hashes that several of a sample of texts (_row, _text) share, sorted, and their counts."""
 
     @F.pandas_udf("array<long>")
     def of(values: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, ngram).view(np.int64) for t in values], dtype=object)
 
-    some = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, texts.count())))
+    some = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, texts.count())))
     counted = texts.where(some).select(F.explode(of("_text")).alias("h")).groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
     ranked, counts = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
     by = np.argsort(ranked)
     return ranked[by], counts[by]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, share: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes (id, least, d0, d1) whose whole sets have the similarity."""
+def small(df: DataFrame) -> DataFrame:
+    """A written table of 32-byte rows with a broadcast hint if it has few."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
-    @F.pandas_udf("d0 long, d1 long, hashes binary")
-    def of(values: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, ngram) for t in values]
-        return pd.DataFrame({"d0": [digest(s)[0] for s in sets], "d1": [digest(s)[1] for s in sets], "hashes": [s.tobytes() for s in sets]})
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes (id, rep) whose whole sets have the similarity."""
+
+    @F.pandas_udf("binary")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, ngram).tobytes() for t in values], dtype=object)
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if not len(x) or not len(y):
+                out.append(False)
+                continue
             at = np.minimum(np.searchsorted(x, y), len(x) - 1)
             out.append(bool(reaches(np.int64((x[at] == y).sum()), np.int64(len(x)), np.int64(len(y)), share)))
         return pd.Series(out)
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "least", "d0", "d1"), "id")
-    # ids can be repeated with other texts: the digest tells which is meant
-    read = texts.join(used, F.col("_key").eqNullSafe(F.col("least"))).select("id", "d0", "d1", of("_text").alias("s"))
-    sets = scratch(read.where("s.d0 = d0 and s.d1 = d1").select("id", "s.hashes").dropDuplicates(["id"]), "sets")
+    used = scratch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep._row"), "id"), "used")
+    read = texts.join(small(used), "_row")
+    sets = scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", of("_text").alias("hashes")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y")), "b")
     return scratch(both.where(close("_x", "_y")).select("a", "b"), "links")
 
 
-def links(nodes: DataFrame, texts: DataFrame, ngram: int, share: int, block: int, scratch: Scratch) -> DataFrame:
-    """(a, b) links of nodes (id, least, d0, d1, n, head) that connect just what all pairs of the similarity connect."""
+def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links of nodes (id, rep, n, head, fp) that connect just what all pairs of the similarity connect."""
+    # one node of each fingerprint stands for it in the covering tables, the others are paired with that one
+    prints = scratch(nodes.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("k")), "prints")
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias("lead_" + c))
+    close = simhash.links(prints.select("fp"), radius, block, scratch).join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    equal = nodes.select("id", "fp").join(prints.where("k > 1"), "fp").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+
     posted = nodes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
     shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("id", "n", "at")).alias("lead")).where("k > 1"), "h"), "posted")
 
     def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
         return F.least(n - i, m - j) * (100 + share) >= (n + m) * share
 
-    stars = shared.where("id <> lead.id").where(possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-    first = verified(scratch(stars.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "stars"), nodes, texts, ngram, share, scratch)
-    roots = components(first).withColumnRenamed("node", "id")
+    stars = shared.where("id <> lead.id").where(possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    proposed = close.unionByName(equal).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = verified(scratch(proposed, "stars"), nodes, texts, repeats, ngram, share, scratch)
+    roots = components(first, scratch).withColumnRenamed("node", "id")
     rooted = scratch(shared.select("h", "id", "n", "at", "k").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     open_ = rooted.join(rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("h"), "h")
     member = F.struct("id", "root", "n", "at")
-    small = open_.where(F.col("k") <= block).groupBy("h").agg(F.collect_list(member).alias("m")).select("m")
+    few = open_.where(F.col("k") <= block).groupBy("h").agg(F.collect_list(member).alias("m")).select("m")
     dealt = open_.where(F.col("k") > block).withColumn("blocks", F.ceil(F.col("k") * 1.25 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = paired.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m")).select("m")
@@ -170,38 +169,48 @@ def links(nodes: DataFrame, texts: DataFrame, ngram: int, share: int, block: int
             out.append((np.minimum(one[i], one[j]), np.maximum(one[i], one[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    proposed = small.unionByName(large).select(under(*[F.col(f"m.{c}") for c in ("id", "root", "n", "at")]).alias("p"))
-    rest = scratch(proposed.select(F.explode(F.arrays_zip("p.a", "p.b")).alias("p")).select("p.a", "p.b").distinct(), "rest")
-    return first.unionByName(verified(rest, nodes, texts, ngram, share, scratch))
+    met = few.unionByName(large).select(under(*[F.col(f"m.{c}") for c in ("id", "root", "n", "at")]).alias("p"))
+    rest = scratch(met.select(F.explode(F.arrays_zip("p.a", "p.b")).alias("p")).select("p.a", "p.b").distinct(), "rest")
+    return first.unionByName(verified(rest, nodes, texts, repeats, ngram, share, scratch))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, share: int = 80, block: int = 2048) -> DataFrame:
-    """One row per document: its id, and component_id, the smallest id that links reach."""
-    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+def _grouped(docs: DataFrame, key: str, text: str, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (_key, _row, d0, d1); of each set d0, d1, rep (null, _key and _row of its component's first row); and whether rows repeat."""
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), row_digest(key, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     ranked, counts = order_of(texts, ngram)
 
-    @F.pandas_udf("d0 long, d1 long, n int, head array<long>")
+    @F.pandas_udf("d0 long, d1 long, n int, fp long, head array<long>")
     def of(values: pd.Series) -> pd.DataFrame:
         rows = []
         for t in values:
             s = shingles(t, ngram)
-            rows.append((*digest(s), len(s), head(s, ranked, counts, share).view(np.int64)))
+            rows.append((*digest(s), len(s), print_of(s), head(s, ranked, counts, share).view(np.int64)))
         del values
         relieved()
-        return pd.DataFrame(rows, columns=["d0", "d1", "n", "head"])
+        return pd.DataFrame(rows, columns=["d0", "d1", "n", "fp", "head"])
 
-    prints, _ = written(texts.select("_key", of("_text").alias("p")).select("_key", "p.*"), "shingles")
+    prints = scratch(texts.select("_key", "_row", of("_text").alias("p")).select("_key", "_row", "p.*"), "shingles")
+    first = F.min(F.struct(F.col("_key").isNull().alias("null"), "_key", "_row"))
+    nodes = scratch(prints.groupBy("d0", "d1").agg(first.alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    repeats = not prints.groupBy("_row").count().where("count > 1").isEmpty()
+    roots = components(links(nodes, texts.select("_row", "_text"), repeats, ngram, share, radius, block, scratch), scratch)
+    rooted = nodes.select("id", "d0", "d1", "rep").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return prints, rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("d0", "d1", F.col("first").alias("rep")), repeats
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, share: int = 80, radius: int = 3, block: int = 2048) -> DataFrame:
+    """One row per document: its id, and component_id, the smallest id that links reach."""
     scratch = Scratch(docs.sparkSession)
-    nodes = scratch(prints.groupBy("d0", "d1").agg(F.min("_key").alias("least"), F.first("n").alias("n"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    roots = scratch(components(links(nodes, texts, ngram, share, block, scratch)), "roots")
-    rooted = nodes.select("id", "d0", "d1", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known, _ = written(rooted.join(classes, "root").select("d0", "d1", "component_id"), "known")
+    prints, known, _ = _grouped(docs, key, text, ngram, share, radius, block, scratch)
+    done, _ = written(prints.join(known, ["d0", "d1"]).select(F.col("_key").alias(key), F.col("rep._key").alias("component_id")), "similar")
     scratch.drop()
-    return prints.join(known, ["d0", "d1"]).select(F.col("_key").alias(key), "component_id")
+    return done
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; a row that repeats an id goes too."""
-    kept = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key])
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, share: int = 80, radius: int = 3, block: int = 2048) -> DataFrame:
+    """docs with one row of each component, that with the smallest id."""
+    scratch = Scratch(docs.sparkSession)
+    _, known, repeats = _grouped(docs, key, text, ngram, share, radius, block, scratch)
+    kept, _ = written(known.select("rep._row").distinct(), "kept")
+    scratch.drop()
+    return rows_of(docs, kept, key, text, repeats)

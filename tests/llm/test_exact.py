@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cairn.llm import archive, covertree, decontaminate, langid, maintext, packing, registry, simhash, similar, tokens, urls
-from cairn.llm.common import components
+from cairn.llm.common import Scratch, components
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +34,7 @@ def roots(n, edges):
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(0, None)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     want = roots(140, [e for e in edges if e[1] is not None])
     linked = {x for e in edges if e[1] is not None and e[0] != e[1] for x in e}
     assert got == {i: want[i] for i in linked}
@@ -76,7 +76,7 @@ def test_links_keep_components(spark, block):
             x ^= 1 << b
         values.append(x)
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
-    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 3, block).collect()
+    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 3, block, Scratch(spark)).collect()
     place = {v: i for i, v in enumerate(values)}
     unsigned = [v & (1 << 64) - 1 for v in values]
     true = [(i, j) for i in range(len(values)) for j in range(i) if (unsigned[i] ^ unsigned[j]).bit_count() <= 3]
@@ -135,8 +135,12 @@ def test_similar_texts_are_one_class(spark, block):
         least.setdefault(base, i)
     assert got == {i: least[base] for i, base in family.items()}
     assert sorted(r.doc_id for r in similar.dedup(df, block=block).collect()) == sorted(least.values())
-    x = similar.lanes_of(rows[0][1], 3)
-    assert int(x[0]) == simhash.fingerprint(rows[0][1])
+
+
+def test_prints_of_sets():
+    words = " ".join(f"w{i * i % 91}{i}" for i in range(80))
+    assert similar.print_of(similar.shingles(words, 3)) & (1 << 64) - 1 == simhash.fingerprint(words)
+    assert similar.print_of(similar.shingles("")) == 0
 
 
 def test_packing_query(spark):
@@ -294,8 +298,9 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     left = {d: t for d, t in rows.items() if t and any(c.isalpha() for c in t)}
     ids = sorted(left)
-    prints = np.stack([similar.lanes_of(left[d]) for d in ids])
-    want = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 42])
+    words = [left[d].lower().split() for d in ids]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    want = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
     left = {ids[i]: left[ids[i]] for i in range(len(ids)) if want[i] == i}
     items = [decontaminate.normalised(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bodies = {d: decontaminate.normalised(t) for d, t in left.items()}
