@@ -2,8 +2,10 @@
 
 Where a tokenizer provably never lets a token cross a word boundary, its ids for a text are those of the words in turn.
 The words are cut out as bytes, looked up in a memo, and only unknown ones go through the tokenizers library, as texts of
-many words with a marker word after each. At a fixed number of words the memo forgets those met once, so memory is bounded. Any other tokenizer, and texts with white space outside
-ASCII where that matters, go through the library whole.
+many words with a marker word after each. At a fixed number of words the memo forgets those met once, so memory is
+bounded. Texts that hold an added token's string, texts with white space outside ASCII where that matters, and any other
+tokenizer go through the library whole. All settings of the library stay as the file gives them: a special token's string
+in a text becomes that token, and ``add_special_tokens=False`` adds none.
 """
 
 from __future__ import annotations
@@ -40,18 +42,20 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids of texts; strings of special tokens are ordinary text, and none are added."""
+    """ids of texts as the tokenizers library gives them with ``add_special_tokens=False``."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         norm, pre, model = plan.get("normalizer"), plan.get("pre_tokenizer") or {}, plan["model"]
-        plain = model.get("type") == "BPE" and not model.get("dropout")
+        added = plan.get("added_tokens", [])
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in added), re.I) if added else None  # words are cut in lower case
+        # a token that is sought in normalised text may not be seen in the raw one
+        plain = model.get("type") == "BPE" and not model.get("dropout") and not (norm and any(x.get("normalized") for x in added))
         self.led = plain and not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         parts = pre.get("pretokenizers", [])
@@ -129,9 +133,24 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8) in a row, and how many each has."""
-        if not (self.led or self.apart) or self.led and any(not t.isascii() and _ODD_SPACE.search(t) for t in texts):
-            got = self._plain([t.decode("utf-8") for t in texts])
-            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        if not whole:
+            return self._by_words(texts)
+        if len(whole) == len(texts):
+            return self._apart(texts)
+        chosen = set(whole)
+        rest = [i for i in range(len(texts)) if i not in chosen]
+        parts: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for some, (ids, n) in ((whole, self._apart([texts[i] for i in whole])), (rest, self._by_words([texts[i] for i in rest]))):
+            for i, part in zip(some, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[i] = part
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _whole(self, text: bytes) -> bool:
+        """Whether only the library's own way from text to ids is sure."""
+        return not (self.led or self.apart) or self.added is not None and bool(self.added.search(text)) or self.led and not text.isascii() and bool(_ODD_SPACE.search(text))
+
+    def _by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > MEMO:
             self.forget(MEMO // 2)
         words = [_LED.findall(t) if self.led else t.lower().split() for t in texts]

@@ -97,16 +97,16 @@ def test_simhash_query(spark):
     assert got == {d: (f"{p:016x}", least[r]) for (d, _), p, r in zip(docs, prints, want, strict=True)}
 
 
-ALPHABET = [*"aB.' \n\t", " a", "é", "İ", "ß", "Σ", "\0", "\u0301", "<|endoftext|>", "中", "😀", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "12", "  ", "\r\n", "!!"]
+ALPHABET = [*"aB.' \n\t", " a", "é", "İ", "ß", "Σ", "\0", "\u0301", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "中", "😀", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "12", "  ", "\r\n", "!!"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_give_the_ids_of_the_whole(name, monkeypatch):
+    """Against the library as the file sets it up, strings of special tokens included."""
     monkeypatch.setattr(tokens, "MEMO", 50)
     rng = random.Random(7)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     e = tokens.Encoder(public_tokenizers.path(name))
     for i in range(0, len(texts), 50):
         ids, n = e.encode([t.encode() for t in texts[i : i + 50]])
@@ -114,6 +114,16 @@ def test_words_give_the_ids_of_the_whole(name, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
 
 
+def test_strings_of_special_tokens_are_those_tokens():
+    def ids(name, text):
+        return tokens.Encoder(public_tokenizers.path(name)).encode([b"hello  there", text.encode(), b"", b"hello"])[0].tolist()
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    near = [plain.encode(t, add_special_tokens=False).ids for t in ("hello  there", "hello")]
+    assert ids("byte_bpe_50k.json", "hello <|endoftext|> world") == [*near[0], 31373, 220, 50256, 995, *near[1]]
+    assert 49406 in ids("word_bpe_49k.json", "hello <|startoftext|> world")
+
+
 @pytest.mark.parametrize("block", [2048, 4])
 def test_similar_texts_are_one_class(spark, block):
     rng = random.Random(9)
