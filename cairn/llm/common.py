@@ -8,6 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Written tables that results yet to be computed still read.
+_LATER: list[str] = []
+
+
+def written_for_later(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder that swept() deletes."""
+    table, path = written(df, name)
+    _LATER.append(path)
+    return table
+
+
+def swept(spark: SparkSession) -> None:
+    """Delete the tables of written_for_later, when what reads them is written itself."""
+    while _LATER:
+        dropped(spark, _LATER.pop())
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,6 +96,24 @@ class Scratch:
             dropped(self.spark, self.paths.pop())
 
 
+#: Bytes of texts that are worked on at a time.
+AT_ONCE = 1 << 20
+
+
+def blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of at most AT_ONCE bytes, but for one longer text alone; null is empty."""
+    first, size, now = 0, 0, []
+    for i, t in enumerate(texts):
+        t = t or b""
+        if now and size + len(t) > AT_ONCE:
+            yield first, now
+            first, size, now = i, 0, []
+        now.append(t)
+        size += len(t)
+    if now:
+        yield first, now
+
+
 def relieved() -> None:
     """Give memory that a task no longer needs back to the system: workers live on and serve other operators."""
     gc.collect()

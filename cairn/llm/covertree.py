@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, written
+from .common import Scratch, components, written_for_later
 
 #: Points in a tree's leaf; sampled points of a node that choose its pivots; nodes whose pivots are sent at once.
 _LEAF, _SAMPLE, _NODES = 48, 256, 1024
@@ -278,6 +278,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     known = named.join(classes, "root").join(counts, "id", "left").select("g", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     linked_rows = good.join(known, ["g", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    done, _ = written(linked_rows.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "linked")
+    done = written_for_later(linked_rows.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "linked")
     scratch.drop()
     return done

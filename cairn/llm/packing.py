@@ -6,7 +6,8 @@ of the window. A window that two partitions share gets pieces from both: its bou
 short; it is padded to the window length unless its length is a power of two.
 
 Defined results: a null or empty text is its end id alone; rows are placed one by one, so repeated and null ids are
-packed like others; an empty table gives no pieces; further columns are ignored.
+packed like others, in the order of the table; a very long text spans many windows; an empty table gives no pieces;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written_for_later
 from .tokens import encoded
 
 
@@ -38,7 +39,7 @@ def tokenised(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: s
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind_of_key = source.schema["key"].dataType.simpleString()
-    return written(source.mapInArrow(run, f"key {kind_of_key}, part long, before long, n long, ids binary"), "tokens")[0]
+    return written_for_later(source.mapInArrow(run, f"key {kind_of_key}, part long, before long, n long, ids binary"), "tokens")
 
 
 def offsets(tokens: DataFrame) -> tuple[dict[int, int], int]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archive, covertree, decontaminate, langid, licences, maintext, packing, simhash, tokenfile, urls
-from .common import new_path, table, written
+from .common import dropped, new_path, table, written_for_later
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), new_path(spark, "warc")
     shards = [(r.shard,) for r in archive.write(pages, folder).collect()]
     files = spark.createDataFrame(shards, "shard long")
-    records, _ = written(archive.read(files.repartition(max(1, len(shards)), "shard"), folder), "records")
+    records = written_for_later(archive.read(files.repartition(max(1, len(shards)), "shard"), folder), "records")
+    dropped(spark, folder)
     kept = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").cast("long").alias("refers_to")).distinct()
     return records.join(kept, "refers_to_id", "left").select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -76,7 +77,9 @@ def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "tokenfile")
     sizes = [(r.shard, r.n_tokens) for r in tokenfile.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=2).collect()]
-    return tokenfile.read(spark, folder, sizes).withColumnRenamed("key", "doc_id")
+    found = written_for_later(tokenfile.read(spark, folder, sizes).withColumnRenamed("key", "doc_id"), "tokenfile-read")
+    dropped(spark, folder)
+    return found
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, relieved, row_digest, rows_of, written
+from .common import Scratch, components, relieved, row_digest, rows_of, written_for_later
 
 #: Row b has the bits of byte b, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """One row per document: its id, fp (signed long) and component_id, the smallest id that links reach."""
     scratch = Scratch(docs.sparkSession)
     prints, known = _grouped(docs, key, text, radius, ngram, seed, block, scratch)
-    done, _ = written(prints.join(known, "fp").select(F.col("_key").alias(key), "fp", F.col("rep._key").alias("component_id")), "simhash")
+    done = written_for_later(prints.join(known, "fp").select(F.col("_key").alias(key), "fp", F.col("rep._key").alias("component_id")), "simhash")
     scratch.drop()
     return done
 
@@ -154,7 +154,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     """docs with one row of each component: that with the smallest id (null last), and among equal ids of the smallest text digest."""
     scratch = Scratch(docs.sparkSession)
     prints, known = _grouped(docs, key, text, radius, ngram, seed, block, scratch)
-    kept, _ = written(known.select("rep._row").distinct(), "kept")
+    kept = written_for_later(known.select("rep._row").distinct(), "kept")
     repeats = not prints.groupBy("_row").count().where("count > 1").isEmpty()
     scratch.drop()
     return rows_of(docs, kept, key, text, repeats)

@@ -189,7 +189,7 @@ def test_distance_and_search():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 5)))
     items = [(i, " ".join(word() for _ in range(12))) for i in range(8)]
-    m = decontaminate.Matcher(items, 0.1, 25)
+    m = decontaminate.Matcher(items, 0.1)
     for _ in range(150):
         text = " ".join(word() for _ in range(30))
         if rng.random() < 0.8:
@@ -202,6 +202,61 @@ def test_distance_and_search():
         for i, x in items:
             assert decontaminate.least_distance(x, body) == far[i]
         assert m.matches(text) == [(i, d) for i, d in sorted(far.items()) if d <= int(len(items[i][1]) * 0.1)]
+        for i, x in items:
+            assert decontaminate.least_within(x, body, 9) == (far[i] if far[i] <= 9 else None)
+
+
+def test_long_items_and_short_ones():
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcde ") for _ in range(150)).strip()
+    changed = "".join("x" if rng.random() < 0.04 else c for c in long)
+    text = "".join(rng.choice("abcde ") for _ in range(900))
+    assert decontaminate.least_within(long, text + changed + text, 40) == edits(long, text + changed + text)
+    m = decontaminate.Matcher([(1, "the cat"), (2, "no"), (3, "a b c d e"), (4, "猫の手"), (5, "!")], 0.1)
+    hits = lambda t: [m.items[i][0] for i, _ in m.matches(t)]
+    assert hits("see the cat sat") == [1] and hits("The, CAT") == [1] and hits("bathe cats") == [] and hits("the cats") == []
+    assert hits("nothing, no. one") == [2] and hits("no") == [2] and hits("snow") == [] and hits("x 猫の手 y") == [4] and hits("") == hits(None) == hits("!") == []
+    assert decontaminate.Matcher([(1, "the cat sat on the mat")], 0.1).matches("Today the cat sat on the mat again") == [(0, 0)]
+
+
+def test_periodic_texts_take_linear_time():
+    import time
+
+    items = [(i, ("abcdefgh "[i % 5 :] + "ij" * (i % 3)) * 12) for i in range(50)]
+    m, began = decontaminate.Matcher(items, 0.1), time.time()
+    found = m.matches("abcdefgh " * 7000)
+    assert time.time() - began < 8 and any(d == 0 for _, d in found)
+
+
+def test_slices_lose_nothing(monkeypatch):
+    rng = random.Random(13)
+    items = [(i, " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(15))) for i in range(6)]
+    texts = [None, ""] + [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)) + " " + rng.choice(items)[1][: rng.choice([85, 89])] for _ in range(25)]
+    want = list(decontaminate.Matcher(items, 0.1).found(texts))
+    monkeypatch.setattr(decontaminate, "_AT_ONCE", 100)
+    assert list(decontaminate.Matcher(items, 0.1).found(texts)) == want and len(want) >= 25
+
+
+def test_leaks_query(spark):
+    """The whole query against plain substring distances, by an own recurrence over all documents and items."""
+    docs = [(r.doc_id, decontaminate.normalised(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, decontaminate.normalised(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    chars = [np.frombuffer(x.encode("utf-32-le"), "<u4") for _, x in items]
+    width = max(map(len, chars))
+    square = np.array([np.concatenate((c, np.zeros(width - len(c), np.uint32))) for c in chars])
+    want = set()
+    ends = np.array([len(c) for c in chars])
+    for d, body in docs:
+        # all items at once, a column of the table for each character of the text
+        column = np.tile(np.arange(width + 1), (len(items), 1))
+        least = ends.copy()
+        for c in np.frombuffer(body.encode("utf-32-le"), "<u4"):
+            step = np.minimum(column[:, :-1] + (square != c), column[:, 1:] + 1)
+            step = np.concatenate((np.zeros((len(items), 1), int), step), axis=1)
+            column = np.minimum.accumulate(step - np.arange(width + 1), axis=1) + np.arange(width + 1)
+            np.minimum(least, column[np.arange(len(items)), ends], out=least)
+        want |= {(d, items[i][0], int(least[i]), len(items[i][1])) for i in range(len(items)) if least[i] <= int(len(items[i][1]) * 0.1)}
+    assert {tuple(r) for r in registry.op1_decontaminate(spark, SF).collect()} == want and len(want) >= 3
 
 
 def test_cover_tree_counts(spark):
@@ -303,6 +358,25 @@ def test_url_templates(spark):
     assert {got[1000 + i].verdict for i in range(200)} == {"allow"} and len({got[1000 + i].template for i in range(200)}) == 1
 
 
+def test_labels_set_a_rare_section_apart(spark):
+    """A bad section with few of a host's pages is not pooled with the good ones, at any depth."""
+    rows, bad = [], []
+    for depth in (0, 4):
+        for kind in range(30):
+            for i in range(20):
+                rows.append((len(rows), f"http://h{depth}.org/{'a/' * depth}sec-{chr(97 + kind % 26)}{chr(97 + kind // 26)}/w{chr(97 + i)}"))
+                bad.append((rows[-1][0], kind == 3))
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad boolean"), []).collect()}
+    assert [got[i].verdict for i, _ in bad] == ["block" if b else "allow" for _, b in bad]
+    assert len({r.template for r in got.values()}) <= 6
+
+
+def test_deep_paths_end(spark):
+    rows = [(i, "http://deep.org/" + "a/" * (40 if i else 12) + "x" * i) for i in range(4)] + [(9, "http://long.org/" + "é" * 100_000 + "/b")]
+    got = {r.page_id: r.template for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean"), []).collect()}
+    assert len(got) == 5 and got[0] != got[1]
+
+
 def test_pipeline(spark):
     """run() against plain Python over the same texts."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
