@@ -23,14 +23,17 @@ of these.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, components, relieved, row_digest, rows_of, written
+from .common import Scratch, blocks, components, relieved, row_digest, rows_of, written_for_later
 
 #: Texts whose shingles are counted for the order, and the most shingles that it ranks.
 SAMPLE, RANKED = 8192, 200_000
@@ -38,9 +41,9 @@ SAMPLE, RANKED = 8192, 200_000
 SENT = 500_000
 
 
-def shingles(text: str | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted set of a text's shingle hashes; empty for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: str | bytes | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted set of the shingle hashes of a text (bytes: in UTF-8); empty for a text without words."""
+    words = ((text or "").encode("utf-8", "surrogatepass") if not isinstance(text, bytes) else text).lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     n, joined, h = len(words), b" ".join(words), xxhash.xxh64_intdigest
@@ -111,27 +114,21 @@ def small(df: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes (id, rep) whose whole sets have the similarity."""
 
-    @F.pandas_udf("binary")
-    def of(values: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, ngram).tobytes() for t in values], dtype=object)
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if not len(x) or not len(y):
-                out.append(False)
-                continue
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            out.append(bool(reaches(np.int64((x[at] == y).sum()), np.int64(len(x)), np.int64(len(y)), share)))
-        return pd.Series(out)
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, some in blocks(x.as_py() for x in batch.column(1).cast(pa.binary())):
+                sets = [shingles(t, ngram).view(np.int64) for t in some]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(some)), lists], ["id", "hashes"])
+        relieved()
 
     used = scratch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep._row"), "id"), "used")
     read = texts.join(small(used), "_row")
-    sets = scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", of("_text").alias("hashes")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y")), "b")
-    return scratch(both.where(close("_x", "_y")).select("a", "b"), "links")
+    sets = scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", "_text").mapInArrow(sets_of, "id long, hashes array<long>"), "sets")
+    x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias("_" + c)) for c in "ab")
+    same = F.size(F.array_intersect("_a", "_b")) * (100 + share) >= share * (F.size("_a") + F.size("_b"))
+    return scratch(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
 
 
 def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
@@ -143,12 +140,13 @@ def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share:
     equal = nodes.select("id", "fp").join(prints.where("k > 1"), "fp").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
     posted = nodes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
-    shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("id", "n", "at")).alias("lead")).where("k > 1"), "h"), "posted")
+    shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h"), "posted")
+    leads = shared.join(shared.groupBy("h").agg(F.min("id").alias("id")), ["h", "id"]).select("h", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
 
     def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
         return F.least(n - i, m - j) * (100 + share) >= (n + m) * share
 
-    stars = shared.where("id <> lead.id").where(possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    stars = shared.join(leads, "h").where("id <> lead").where(possible(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     proposed = close.unionByName(equal).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = verified(scratch(proposed, "stars"), nodes, texts, repeats, ngram, share, scratch)
     roots = components(first, scratch).withColumnRenamed("node", "id")
@@ -202,7 +200,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     """One row per document: its id, and component_id, the smallest id that links reach."""
     scratch = Scratch(docs.sparkSession)
     prints, known, _ = _grouped(docs, key, text, ngram, share, radius, block, scratch)
-    done, _ = written(prints.join(known, ["d0", "d1"]).select(F.col("_key").alias(key), F.col("rep._key").alias("component_id")), "similar")
+    done = written_for_later(prints.join(known, ["d0", "d1"]).select(F.col("_key").alias(key), F.col("rep._key").alias("component_id")), "similar")
     scratch.drop()
     return done
 
@@ -211,6 +209,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int =
     """docs with one row of each component, that with the smallest id."""
     scratch = Scratch(docs.sparkSession)
     _, known, repeats = _grouped(docs, key, text, ngram, share, radius, block, scratch)
-    kept, _ = written(known.select("rep._row").distinct(), "kept")
+    kept = written_for_later(known.select("rep._row").distinct(), "kept")
     scratch.drop()
     return rows_of(docs, kept, key, text, repeats)

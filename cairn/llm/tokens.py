@@ -19,14 +19,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import relieved
+from .common import blocks, relieved
 
 #: A word with the white space before it.
 _LED = re.compile(rb"\s*\S+|\s+")
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Words in the memo and of those in an idle worker, bytes encoded at a time, and unknown words in one text.
-MEMO, IDLE, AT_ONCE, TOGETHER = 800_000, 300_000, 1 << 20, 64
+#: Words in the memo and of those in an idle worker, and unknown words in one text.
+MEMO, IDLE, TOGETHER = 800_000, 300_000, 64
 #: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
 _MARK = " \0"
 
@@ -177,20 +177,6 @@ def encoder(path: str) -> Encoder:
     return _KNOWN[path]
 
 
-def blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of at most AT_ONCE bytes, but for one longer text alone; null is empty."""
-    first, size, now = 0, 0, []
-    for i, t in enumerate(texts):
-        t = t or b""
-        if now and size + len(t) > AT_ONCE:
-            yield first, now
-            first, size, now = i, 0, []
-        now.append(t)
-        size += len(t)
-    if now:
-        yield first, now
-
-
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """For batches of (key, text): keys, and each text's ids with ``end`` after them."""
     e, tail = encoder(path), np.array([end], np.uint32)
