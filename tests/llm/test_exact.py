@@ -2,8 +2,10 @@
 
 import io
 import random
+import re
 import zlib
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import archive, covertree, decontaminate, langid, maintext, packing, registry, simhash, similar, tokens, urls
+from cairn.llm import archive, covertree, decontaminate, langid, licences, maintext, packing, registry, simhash, similar, tokens, urls
 from cairn.llm.common import Scratch, components
 
 SF = "/root/testdata/sf0.001"
@@ -303,6 +305,26 @@ def test_language_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no licence files here")
+def test_full_licences_are_known(spark):
+    """Whole files, rewrapped, in another case and spelling, under a holder's line: all are found, near ones are not."""
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    rows, expected = [], {}
+    for i, (file, name) in enumerate(want.items()):
+        text = Path(f"/usr/share/common-licenses/{file}").read_text()
+        changed = "Copyright (c) 2021 Some One\n\n" + re.sub(r"\bLICENSE(S|D)?\b", r"LICENCE\1", text.upper()).replace("\n\n", "\n \n\t\n") + "\f\n"
+        old = text.replace("51 Franklin Street, Fifth Floor", "59 Temple Place, Suite 330").replace("02110-1301", "02111-1307")
+        for j, (t, n) in enumerate(((text, name), (changed, name), (old, name), (text + " and more", None), (text[: len(text) // 2], None))):
+            rows.append((10 * i + j, t))
+            expected[10 * i + j] = n
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_neighbouring_spellings():
+    assert licences.canonical_py("licence licence, Licence\nsub licence organisation") == "license license license sublicense organization"
+
+
 def test_arc_headers():
     for version in (1, 2):
         body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello\nworld"
@@ -333,8 +355,6 @@ def test_main_text():
 
 
 def test_main_text_of_pages(spark):
-    import re
-
     for r in registry.op5_maintext(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
