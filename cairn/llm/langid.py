@@ -2,16 +2,18 @@
 
 The UTF-8 bytes of a text go through two gated recurrent layers, one in each direction; a softmax over both states
 labels every position, and a document's probabilities are the mean over all its positions. Texts are cut into stretches
-of ``SPAN`` bytes, each started from the zero state in both directions, so any number of documents of any length run as
-one batch and every byte of the whole text counts. Training is backpropagation through time on stretches of labelled
-documents: at most ``per_label`` documents of each label, chosen by a hash of their id, and one stretch of ``sample``
-characters at a hashed place in each; that is the only bounded sample.
-
-A prediction reads the text alone. A text that is null or has no letter gets ``und`` and score 0. With no labelled
-document at all every text is ``und``. Ties go to the label that sorts first.
-
-Defined results: documents with a null label or text teach nothing; repeated rows are predicted alike; an empty table
-gives no rows; further columns are kept or ignored as the function says.
+of about ``SPAN`` bytes between characters, each started from the zero state in both directions, so any number of
+documents of any length run as one batch and every byte of the whole text counts. Training is backpropagation through
+time on stretches of labelled documents: at most ``per_label`` documents of each label, chosen by a hash of their id, and
+of each ``draws`` pieces of ``piece`` characters at hashed places anywhere in the whole text; that is the only bounded
+sample. There can be at most ``most_labels`` labels, for each is an output of the network.
+
+A prediction reads the text alone. A text that is null or has no letter (Unicode category L) gets ``und`` and score 0.
+With no labelled document at all every text is ``und``. Ties go to the label that sorts first.
+
+Defined results: documents with a null label or text teach nothing; repeated rows are predicted alike; very long texts
+are read whole, some megabytes of texts at a time; an empty table gives no rows; further columns are kept or ignored as
+the function says.
 """
 
 from __future__ import annotations
@@ -29,7 +31,14 @@ from .common import relieved
 
 #: Bytes in a stretch, and stretches that run side by side.
 SPAN, SIDE = 128, 1024
-_LETTER = re.compile(r"[^\W\d_]")
+#: The most bytes by which a stretch is longer, to end between characters.
+_OVER = 3
+_WORDY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of category L; numbers such as superscripts and Roman numerals are not."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text or ""))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -114,15 +123,26 @@ def trained(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 5
     model, rng = fresh(names, hidden, seed), np.random.default_rng(seed)
     if len(names) < 2:
         return model
-    raw: dict[str, list[np.ndarray]] = {n: [] for n in names}
+    pieces: dict[str, list[bytes]] = {n: [] for n in names}
     for text, label in zip(texts, labels, strict=True):
-        raw[label].append(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-    joined = {n: np.concatenate([*x, np.full(span, 32, np.uint8)]) for n, x in raw.items()}
+        pieces[label].append(text.encode("utf-8", "surrogatepass").ljust(span))
+    joined = {n: np.frombuffer(b"".join(x), np.uint8) for n, x in pieces.items()}
+    sizes = {n: np.fromiter(map(len, x), np.int64, len(x)) for n, x in pieces.items()}
+
+    def drawn(n: str, count: int) -> np.ndarray:
+        """Stretches that lie in one text each, any place of all texts being as likely as another."""
+        room = sizes[n] - span + 1
+        ends = np.cumsum(room)
+        place = rng.integers(0, ends[-1], count)
+        which = np.searchsorted(ends, place, "right")
+        start = place - (ends - room)[which] + (np.cumsum(sizes[n]) - sizes[n])[which]
+        return joined[n][start[:, None] + np.arange(span)]
+
     first, second = [np.zeros_like(w) for w in model.parts()], [np.zeros_like(w) for w in model.parts()]
     each = max(1, batch // len(names))
     y = np.repeat(np.arange(len(names)), each)
     for step in range(1, steps + 1):
-        x = np.concatenate([joined[n][rng.integers(0, len(joined[n]) - span + 1, each)[:, None] + np.arange(span)] for n in names])
+        x = np.concatenate([drawn(n, each) for n in names])
         grads = gradients(model, x, y)[1]
         norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -140,7 +160,7 @@ class _Room:
     def __init__(self, hidden: int, labels: int) -> None:
         e = lambda *s: np.empty(s, np.float32)
         self.g, self.g2, self.c, self.u, self.s = e(SIDE, 2 * hidden), e(SIDE, 2 * hidden), e(SIDE, hidden), e(SIDE, hidden), e(SIDE, hidden)
-        self.logits = e(SPAN, SIDE, labels)
+        self.logits = e(SPAN + _OVER, SIDE, labels)
 
 
 def _pass(model: Model, d: int, x: np.ndarray, active: np.ndarray, room: _Room) -> None:
@@ -182,8 +202,10 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = begin[owner] + nth * SPAN
-    length = np.minimum(SPAN, sizes[owner] - nth * SPAN)
-    flat = np.concatenate([*raw, np.zeros(SPAN, np.uint8)])
+    flat = np.concatenate([*raw, np.zeros(SPAN + _OVER, np.uint8)])
+    for _ in range(_OVER):  # back to the first byte of a character
+        start -= flat[start] & 0xC0 == 0x80
+    length = np.append(start[1:], sizes.sum()) - start
     by = np.argsort(-length, kind="stable")
     total = np.zeros((len(raw), labels))
     room = _Room(model.rec_state.shape[1], labels)
@@ -208,7 +230,7 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
 def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """The label and its pooled probability for each text."""
     out, score = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if has_letter(t)]
     if not model or not model.labels or not known:
         return out, score
     distinct: dict[str, int] = {}
@@ -220,20 +242,23 @@ def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str],
     return out, score
 
 
-def fit(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, sample: int = 1500, **options) -> Model | None:
-    """A model of the documents where ``use`` holds: at most per_label documents of each label, sample characters of each."""
-    fit_on = docs.where(use).where(F.col(label).isNotNull())
-    counts = dict(map(tuple, fit_on.groupBy(F.col(label).cast("string")).count().collect()))
+def fit(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, draws: int = 32, piece: int = 120, most_labels: int = 4096, **options) -> Model | None:
+    """A model of the documents where ``use`` holds: at most per_label documents of each label, draws pieces of each whole text."""
+    fit_on = docs.where(use).where(F.col(label).isNotNull()).where(F.length(text) > 0)
+    counts = dict(map(tuple, fit_on.groupBy(F.col(label).cast("string")).count().limit(most_labels + 1).collect()))
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     if not counts:
         return None
-    rank = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003))
+    rank = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1_000_003))
     bound = F.lit(0)
     for name, n in counts.items():
         bound = F.when(F.col(label).cast("string") == name, F.lit(min(1_000_003, int(3_000_000 * per_label / n) + 1))).otherwise(bound)
-    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.greatest(F.length(text) - sample + 1, F.lit(1)))
-    near = fit_on.where(rank < bound).where(F.length(text) > 0).select(F.col(label).cast("string").alias("y"), F.substring(F.col(text), (place + 1).cast("int"), F.lit(sample)).alias("x"), rank.alias("r"), F.col(key).cast("string").alias("k"))
-    rows = near.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("r", "k", "x"))).where(F.col("n") <= per_label).orderBy("y", "n").select("x", "y").collect()
-    return trained([r.x for r in rows], [r.y for r in rows], **options)
+    near = fit_on.select(F.col(label).cast("string").alias("y"), F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), rank.alias("r"), bound.alias("most")).where("r < most")
+    place = lambda i: (F.pmod(F.xxhash64("r", "k", i), F.greatest(F.length("t") - piece + 1, F.lit(1))) + 1).cast("int")
+    drawn = near.select("y", "r", "k", F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.substring(F.col("t"), place(i), F.lit(piece)))).alias("x"))
+    rows = drawn.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("r", "k", "x"))).where(F.col("n") <= per_label).orderBy("y", "n").select("x", "y").collect()
+    return trained([x for r in rows for x in r.x], [r.y for r in rows for _ in r.x], **options)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -297,6 +297,53 @@ def test_gradients():
         assert abs((high - low) / (2 * eps) - g[at]) < 2e-3 * max(1, abs(g[at]))
 
 
+def plain_probabilities(model, text):
+    """The network byte by byte in plain float arithmetic, for one text."""
+    raw = text.encode()
+    cuts = [0]
+    while cuts[-1] < len(raw):
+        at = min(len(cuts) * langid.SPAN, len(raw))
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        cuts.append(at)
+    h, total = model.rec_state.shape[1], np.zeros(len(model.labels))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        states = {}
+        for d in (0, 1):
+            s = np.zeros(h)
+            for t in range(a, b) if d == 0 else range(b - 1, a - 1, -1):
+                g = 1 / (1 + np.exp(-(model.in_gates[d][raw[t]] + s @ model.rec_gates[d])))
+                c = np.tanh(model.in_state[d][raw[t]] + g[h:] * (s @ model.rec_state[d]))
+                s = g[:h] * s + (1 - g[:h]) * c
+                states[d, t] = s
+        for t in range(a, b):
+            x = np.exp(states[0, t] @ model.out[0] + states[1, t] @ model.out[1] + model.bias)
+            total += x / x.sum()
+    return total / max(1, len(raw))
+
+
+def test_probabilities_equal_a_plain_recurrence():
+    rng = random.Random(21)
+    texts = ["a", "", "é" * 200, "€" * 150, "ab😀" * 90, "".join(rng.choice("abc défgh😀 中") for _ in range(700))]
+    model = langid.trained(["abc def ghi" * 30, "中中é é😀" * 40, "xyz xyz" * 40], ["a", "b", "c"], hidden=5, steps=15)
+    got = langid.probabilities(model, texts)
+    for p, t in zip(got, texts, strict=True):
+        assert np.allclose(p, plain_probabilities(model, t), atol=2e-5)
+
+
+def test_only_letters_have_a_language():
+    model = langid.trained(["abc" * 50, "xyz" * 50], ["a", "b"], steps=2)
+    numbers = ["12 ²", "½", "①②", "Ⅷ ⅷ", "", None, "!?", "٣", "_", "\u0301"]
+    assert langid.predicted(model, numbers) == (["und"] * len(numbers), [0.0] * len(numbers))
+    assert "und" not in langid.predicted(model, ["ª", "² a", "ß", "中", "ʰ", "Ⅷ x"])[0]
+
+
+def test_equal_outputs_take_the_first_label():
+    model = langid.fresh(["a", "b", "c"], 3, 1)
+    model.out[:] = 0
+    assert langid.predicted(model, ["word"])[0] == ["a"]
+
+
 def test_language_accuracy(spark):
     got = registry.op7_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     total, right = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
