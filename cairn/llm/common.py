@@ -30,11 +30,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at a time where texts are read: an Arrow batch is held several times over.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df as a table in the shared folder, which any executor can read again after another was lost; and its path."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
