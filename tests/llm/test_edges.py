@@ -149,7 +149,9 @@ def test_archive(spark, pages):
 
 def test_main_text(spark, pages):
     got = maintext.with_main_text(pages).collect()
-    assert len(got) == pages.count() and all(r.text is not None for r in got)
+    assert sorted(r.text for r in got) == sorted({3: "", 5: "", 6: "b" * 900, 7: "b" * 900, 8: "é" * 600, 9: LONG.strip()}.get(r[0], "a" * 2000) for r in PAGES[: pages.count()])
+    clash = pages.withColumn("text", F.lit("x")).withColumn("chars", F.lit(1))
+    assert sorted(r.text for r in maintext.with_main_text(clash).collect()) == sorted(r.text for r in got)
 
 
 def test_urls(spark, pages):

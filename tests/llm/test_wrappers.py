@@ -1,5 +1,8 @@
 """Class words on wrappers and headlines do not take the main text away."""
 
+import re
+import time
+
 import pytest
 
 from cairn.llm import maintext
@@ -17,3 +20,47 @@ def test_wrappers_stay(name, inner):
 def test_headline_stays_and_parts_go():
     page = f"<article><div class='entry-header'><h1>Head</h1></div>{BODY}<div class='ad'>Buy</div></article><div id='comments'><article class='comment'>{BODY * 3}</article></div>"
     assert maintext.main_text(page) == "Head\n" + TEXT
+
+
+LONG = "This sentence is one of several that make a paragraph of an article, long enough to stand out from menus and small print. " * 3
+PLAIN = f"""<body><div><div><a href=1>Home</a></div><div><a href=2>News of the day</a></div><div><a href=3>Contact and more</a></div></div>
+<div><div><h1>A title &amp; more</h1></div><div><div>{LONG}</div><div>{LONG}</div><div>Short one.</div><div>{LONG}<span class="ad">Buy</span> to the end.</div>
+<div><a href=4>First link</a></div><div><a href=5>Second link</a></div><div><a href=6>Third link</a></div></div></div>
+<div>All rights reserved, 2020</div></body>"""
+
+
+def test_clusters_decide_without_names():
+    """No element or class tells the article: the clusters find it, and with clustering off the menus come along."""
+    line = LONG.strip()
+    assert maintext.main_text(PLAIN) == "\n".join(["A title & more", line, line, "Short one.", f"{line} to the end."])
+    off = maintext.main_text(PLAIN, share=0.0)
+    assert off != maintext.main_text(PLAIN) and "Second link" in off
+
+
+def test_link_lists_in_an_article_go():
+    links = "".join(f"<li><a href={i}>Another page {i}</a></li>" for i in range(6))
+    assert maintext.main_text(f"<article><h1>T</h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p><p><a href=x>Read on</a></p></article>") == f"T\n{LONG.strip()}\n{LONG.strip()}\nRead on"
+
+
+def test_class_words_that_are_no_menus_stay():
+    for name in ("tags", "social", "copyright", "hidden", "share", "no-ads", "with-sidebar"):
+        assert maintext.main_text(f"<article><div class='{name}'>{LONG}</div>{BODY}</article>") == f"{LONG.strip()}\n{TEXT}"
+    for name in ("cookie-notice", "sideBar sidebar", "adsense", "site-footer"):
+        assert maintext.main_text(f"<article><div class='{name}'>{LONG}</div>{BODY}</article>") == TEXT
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "x", "<div>" * 100_000 + "x", "<p>a<b>" * 50_000, "<table><tr><td>a" * 30_000, "<ul><li><a href=x>a" * 30_000, "</p>" * 100_000 + "x"])
+def test_unclosed_tags_take_linear_time(html):
+    began = time.time()
+    assert isinstance(maintext.main_text(html), str) and time.time() - began < 5
+
+
+def test_anonymous_pages(spark):
+    """Pages without article, nav, footer and class names: most texts are still exact, and none is empty."""
+    right = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        want = maintext.main_text(r.html)
+        got = maintext.main_text(re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", r.html).replace(' class="ad"', ""))
+        total, right = total + 1, right + (got == want)
+        assert got
+    assert right >= 0.65 * total
