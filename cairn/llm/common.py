@@ -35,13 +35,13 @@ ROWS_AT_ONCE = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, rows: int = ROWS_AT_ONCE) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, which any executor can read again after another was lost; and its path."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE)
+    spark.conf.set(_BATCH, min(int(before), rows) if int(before) > 0 else rows)
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path), path
@@ -95,8 +95,8 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = written(df, name)
+    def __call__(self, df: DataFrame, name: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+        table, path = written(df, name, rows)
         self.paths.append(path)
         return table
 

@@ -7,27 +7,32 @@ must be linked are counted at once; other pairs go on to their children. What is
 double precision.
 
 Across tasks the same tree is a table. Equal vectors are one point with a weight from the start. A label's points form
-its root; a node of more than ``cap`` points gets children by pivots that halve the radius of a bounded sample of it,
-its points go to the nearest pivot, and the true radius is measured afterwards, so that results never depend on the
-sample. Node pairs are joined level by level and pruned by their radii; each pair of leaves that is left is one row,
-decided in one task whose size ``cap`` bounds. A label that holds most rows is many leaves.
+its root; a node of more than ``cap`` points gets children by pivots, each farthest from those before, until they halve
+the radius of a bounded sample of it; where more than ``fan`` pivots would be needed, the children that are still too
+large are split again, so such a level takes several rounds. Points go to the nearest pivot, and the true radius is
+measured afterwards, so that results never depend on the sample. Node pairs are joined level by level and pruned by their
+radii. The pairs of leaves that are left are dealt into tiles of ``_TILE`` x ``_TILE`` neighbouring leaves: a tile is one
+row that holds each of its leaves once, and decides its pairs in one task. A label that holds most rows is many tiles.
 
 Vectors that are null or zero or hold null or non-finite components, and vectors with a null label, link with nothing.
 Defined results: vectors of different length never link; repeated rows link with each other (weights count them);
-null keys get null components; an empty table gives no rows; further columns are ignored.
+null keys get null components unless another key is reached; equal distances to pivots go to the first one; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, written_for_later
+from .common import Scratch, components, relieved, written_for_later
 
 #: Points in a tree's leaf; sampled points of a node that choose its pivots; nodes whose pivots are sent at once.
 _LEAF, _SAMPLE, _NODES = 48, 256, 1024
+#: Leaves on a side of a tile, fewer where a tile would hold more numbers than that.
+_TILE, _NUMBERS = 8, 4 << 20
 _EPS = 1e-7
 
 
@@ -218,7 +223,7 @@ def links(points: DataFrame, cosine: float, cap: int, fan: int, scratch: Scratch
         return pd.DataFrame(out, columns=["centre", "radius", "body"])
 
     members = placed.groupBy("g", "path").agg(F.collect_list(F.struct("id", "weight", "vec")).alias("m"))
-    leaves = scratch(members.select("g", "path", F.col("m.id").alias("ids"), F.col("m.weight").alias("weights"), packed(F.col("m.vec")).alias("p")).select("g", "path", "ids", "weights", "p.*"), "leaves")
+    leaves = scratch(members.select("g", "path", F.col("m.id").alias("ids"), F.col("m.weight").alias("weights"), packed(F.col("m.vec")).alias("p")).select("g", "path", "ids", "weights", "p.*"), "leaves", rows=16)
     prefix = lambda k: F.when(F.size(F.split("path", r"\.")) > k + 1, F.concat(F.substring_index("path", ".", k + 1), F.lit("."))).otherwise(F.col("path"))
 
     @F.pandas_udf("centre array<double>, radius double")
@@ -243,22 +248,36 @@ def links(points: DataFrame, cosine: float, cap: int, fan: int, scratch: Scratch
         apart = F.sqrt(F.aggregate(F.zip_with("cp", "cq", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         pairs = pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).where((F.col("p") != F.col("q")) | (F.col("p2") <= F.col("q2"))).where(apart <= F.col("rp") + F.col("rq") + tau + _EPS).select("g", F.col("p2").alias("p"), F.col("q2").alias("q"))
         pairs = scratch(pairs, "pairs")
-    left, right = (leaves.select("g", F.col("path").alias(s), F.col("ids").alias("ids_" + s), F.col("weights").alias("w_" + s), F.col("body").alias("b_" + s)) for s in "pq")
+    # leaves that follow each other in the tree's order share tiles
+    order = leaves.select("g", "path", F.size("centre").alias("dim"), (F.row_number().over(Window.partitionBy("g").orderBy("path")) - 1).alias("nth"))
+    side = F.greatest(F.lit(1), F.least(F.lit(_TILE), F.floor(F.lit(float(_NUMBERS)) / (2 * cap * F.col("dim"))).cast("int")))
+    order = scratch(order.select("g", "path", F.floor(F.col("nth") / side).alias("tile")), "order")
+    at = lambda c: order.select("g", F.col("path").alias(c), F.col("tile").alias("t" + c))
+    dealt = scratch(pairs.join(at("p"), ["g", "p"]).join(at("q"), ["g", "q"]), "dealt")
+    todo = dealt.groupBy("g", "tp", "tq").agg(F.collect_list(F.struct("p", "q")).alias("todo"))
+    needed = dealt.select("g", "tp", "tq", F.explode(F.array("p", "q")).alias("path")).distinct()
+    bodies = needed.join(leaves.select("g", "path", "ids", "weights", "body"), ["g", "path"]).groupBy("g", "tp", "tq").agg(F.collect_list(F.struct("path", "ids", "weights", "body")).alias("leaves"))
 
     @F.pandas_udf("counts array<struct<id:long,n:long>>, forest array<struct<a:long,b:long>>")
-    def decide(same: pd.Series, ids_p: pd.Series, w_p: pd.Series, b_p: pd.Series, ids_q: pd.Series, w_q: pd.Series, b_q: pd.Series) -> pd.DataFrame:
+    def decide(todo: pd.Series, held: pd.Series) -> pd.DataFrame:
         out = []
-        for one, ip, wp, bp, iq, wq, bq in zip(same, ids_p, w_p, b_p, ids_q, w_q, b_q, strict=True):
-            a = Tree(np.frombuffer(bp, "<f8").reshape(len(ip), -1))
-            b = a if one else Tree(np.frombuffer(bq, "<f8").reshape(len(iq), -1))
-            got_a, got_b, forest = linked(a, b, cosine, np.asarray(wp, np.int64), np.asarray(wq, np.int64))
-            counts = [{"id": int(ip[i]), "n": int(got_a[i])} for i in np.flatnonzero(got_a)]
-            if not one:
-                counts += [{"id": int(iq[i]), "n": int(got_b[i])} for i in np.flatnonzero(got_b)]
-            out.append((counts, [{"a": int(ip[i]), "b": int(iq[j])} for i, j in forest]))
+        for asked, members in zip(todo, held, strict=True):
+            trees = {m["path"]: (np.asarray(m["ids"], np.int64), np.asarray(m["weights"], np.int64), Tree(np.frombuffer(m["body"], "<f8").reshape(len(m["ids"]), -1))) for m in members}
+            counts: dict[int, int] = {}
+            joined = []
+            for pair in asked:
+                (ip, wp, a), (iq, wq, b) = trees[pair["p"]], trees[pair["q"]]
+                got_a, got_b, forest = linked(a, b, cosine, wp, wq)
+                for ids, got in ((ip, got_a), (iq, got_b)) if a is not b else ((ip, got_a),):
+                    for i in np.flatnonzero(got):
+                        counts[int(ids[i])] = counts.get(int(ids[i]), 0) + int(got[i])
+                joined += [{"a": int(ip[i]), "b": int(iq[j])} for i, j in forest]
+            out.append(([{"id": i, "n": n} for i, n in counts.items()], joined))
+        del trees
+        relieved()
         return pd.DataFrame(out, columns=["counts", "forest"])
 
-    decided = scratch(pairs.join(left, ["g", "p"]).join(right, ["g", "q"]).select(decide(F.col("p") == F.col("q"), "ids_p", "w_p", "b_p", "ids_q", "w_q", "b_q").alias("d")).select("d.*"), "decided")
+    decided = scratch(todo.join(bodies, ["g", "tp", "tq"]).select(decide("todo", "leaves").alias("d")).select("d.*"), "decided", rows=1)
     counts = decided.select(F.explode("counts").alias("c")).select("c.*").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, decided.select(F.explode("forest").alias("e")).select("e.*")
 
