@@ -89,6 +89,12 @@ def rows_of(docs: DataFrame, kept: DataFrame, key: str, text: str, repeats: bool
     return keyed.join(kept.withColumnRenamed("_row", name), name, "left_semi").drop(name)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Written tables of one computation, deleted together when its own result is written."""
 
@@ -100,9 +106,16 @@ class Scratch:
         self.paths.append(path)
         return table
 
+    def drop_last(self, name: str) -> None:
+        """Delete the last table of that name before the others."""
+        at = max(i for i, p in enumerate(self.paths) if p.rsplit("/", 1)[1].startswith(f"{name}-"))
+        dropped(self.spark, self.paths.pop(at))
+        released(self.spark)
+
     def drop(self) -> None:
         while self.paths:
             dropped(self.spark, self.paths.pop())
+        released(self.spark)
 
 
 #: Bytes of texts that are worked on at a time.

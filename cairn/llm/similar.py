@@ -10,7 +10,7 @@ the texts. Equal sets are one node.
    similarity share an element among the first n - ceil(share x n) + 1 of each (n: its own size), its head, so texts are
    posted under the elements of their heads and compared where these meet. The order is by count in a sample of the texts,
    then by hash; it puts common passages last, and only the time depends on the sample. A pair is dropped unread if its
-   sizes, or what can follow its first common element, rule the similarity out. Every text is compared with the smallest
+   sizes, what can follow its first common element, or what its heads share rule the similarity out. Every text is compared with the smallest
    one under each element first. What all these links do not connect yet is paired in full: elements of up to ``block``
    texts in one task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, blocks, components, relieved, row_digest, rows_of, written_for_later
+from .common import Scratch, blocks, components, released, relieved, row_digest, rows_of, written_for_later
 
 #: Texts whose shingles are counted for the order, and the most shingles that it ranks.
 SAMPLE, RANKED = 8192, 200_000
@@ -112,7 +112,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes (id, rep) whose whole sets have the similarity."""
+    """The pairs (a, b) of nodes (id, rep, n, head) whose whole sets have the similarity."""
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,12 +123,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(some)), lists], ["id", "hashes"])
         relieved()
 
-    used = scratch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep._row"), "id"), "used")
+    # what two heads share and what can follow them bounds what the sets share
+    ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    heads = nodes.select("id", "n", "head").join(small(scratch(ids(pairs), "asked")), "id")
+    x, y = (heads.select(F.col("id").alias(c), F.col("n").cast("long").alias("n" + c), F.col("head").alias("h" + c)) for c in "ab")
+    most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    pairs = scratch(pairs.join(x, "a").join(y, "b").where(most * (100 + share) >= (F.col("na") + F.col("nb")) * share).select("a", "b"), "pairs")
+    used = scratch(ids(pairs).join(nodes.select("id", "rep._row"), "id"), "used")
     read = texts.join(small(used), "_row")
     sets = scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", "_text").mapInArrow(sets_of, "id long, hashes array<long>"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias("_" + c)) for c in "ab")
     same = F.size(F.array_intersect("_a", "_b")) * (100 + share) >= share * (F.size("_a") + F.size("_b"))
-    return scratch(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
+    links = scratch(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
+    scratch.drop_last("sets")
+    return links
 
 
 def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
@@ -141,6 +149,7 @@ def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share:
 
     posted = nodes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
     shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h"), "posted")
+    released(nodes.sparkSession)
     leads = shared.join(shared.groupBy("h").agg(F.min("id").alias("id")), ["h", "id"]).select("h", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
 
     def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
