@@ -10,11 +10,14 @@ source, the 14-digit date becomes ISO 8601, and block and payload digests are SH
 A WARC file is a row of gzip members, one per record. A task writes under a name of its own and renames at the end.
 
 Which records repeat a payload is settled before writing, by one partial aggregate on the digest: of equal payloads of
-at least ``least`` bytes, the one with the largest key keeps its payload and the others refer to it.
+at least ``least`` bytes, the one with the largest key keeps its payload and the others refer to it. That table of repeats
+is written first and goes to all tasks if it is small (``REPEATS`` rows), so that pages are not shuffled; beyond that it
+is joined. Pages reach the converter as ARC bytes in memory, some megabytes at a time, never as ARC files.
 
 Defined results: a null html is an empty payload; null keys come back as null and never lead a group unless all its keys
 are null (then all keep their payloads); repeated rows of the leading key all keep theirs; a null url is an empty one,
-and white space in a url is percent-encoded; an empty table gives no files and no rows; further columns are ignored.
+and white space in a url is percent-encoded; a very long payload is one record, whole; an empty table gives no files and
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, written_for_later
 from .tokenfile import opened
 
 #: The header fields of the two versions, as the version block names them.
@@ -43,6 +47,8 @@ FIELDS = {
 _SPACE = re.compile(r"\s")
 #: Bytes read from or gathered for a file at a time.
 _STEP = 1 << 20
+#: The most repeats (two keys, a digest and a url each) that are broadcast.
+REPEATS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -185,6 +191,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
     source = pages.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url"), body.alias("html"), F.col(f"`{key}`").alias("_key"), F.sha1(body.cast("binary")).alias("digest"))
     repeats = leaders(pages, key, url, html, least).withColumnRenamed("key", "_key")
+    repeats = small(written_for_later(repeats, "repeats"), REPEATS)
     source = source.join(repeats, source["_key"].eqNullSafe(repeats["_key"]) & (source["digest"] == repeats["digest"]), "left").select("key", "url", "html", F.col("leader").cast("string").alias("leader"), "leader_url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

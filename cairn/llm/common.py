@@ -89,6 +89,15 @@ def rows_of(docs: DataFrame, kept: DataFrame, key: str, text: str, repeats: bool
     return keyed.join(kept.withColumnRenamed("_row", name), name, "left_semi").drop(name)
 
 
+#: The most rows that are broadcast: of ids and digests, of at most some hundred bytes each.
+SENT = 500_000
+
+
+def small(df: DataFrame, rows: int = SENT) -> DataFrame:
+    """A written table of narrow rows, with a broadcast hint if it has few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects what refers to them."""
     gc.collect()

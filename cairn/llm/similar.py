@@ -33,12 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, blocks, components, released, relieved, row_digest, rows_of, written_for_later
+from .common import Scratch, blocks, components, released, relieved, row_digest, rows_of, small, written_for_later
 
 #: Texts whose shingles are counted for the order, and the most shingles that it ranks.
 SAMPLE, RANKED = 8192, 200_000
-#: The most rows (of 32 bytes) that are broadcast.
-SENT = 500_000
 
 
 def shingles(text: str | bytes | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
@@ -106,11 +104,6 @@ def order_of(texts: DataFrame, ngram: int, seed: int = 3) -> tuple[np.ndarray, n
     return ranked[by], counts[by]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table of 32-byte rows with a broadcast hint if it has few."""
-    return F.broadcast(df) if df.count() <= SENT else df
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes (id, rep, n, head) whose whole sets have the similarity."""
 
