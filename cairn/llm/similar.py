@@ -8,11 +8,13 @@ the texts. Equal sets are one node.
    They connect the closest copies; at a similarity of 0.8 about ten bits differ, which no covering family reaches.
 2. Prefix filtering, which loses no pair at any number of texts: all sets are sorted by one total order. Two sets of that
    similarity share an element among the first n - ceil(share x n) + 1 of each (n: its own size), its head, so texts are
-   posted under the elements of their heads and compared where these meet. The order is by count in a sample of the texts,
-   then by hash; it puts common passages last, and only the time depends on the sample. A pair is dropped unread if its
-   sizes, what can follow its first common element, or what its heads share rule the similarity out. Every text is compared with the smallest
-   one under each element first. What all these links do not connect yet is paired in full: elements of up to ``block``
-   texts in one task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own.
+   posted under the elements of their heads and compared where these meet. The order is by count, then by hash, so that
+   common passages come last: a sample of the texts gives first counts, and then the elements under which ``HOT`` texts or
+   more are posted get their count there and move back, for ``ROUNDS`` rounds. Only the time depends on these counts. A
+   pair is dropped unread if its sizes, what can follow its first common element, what its heads share, or (in large
+   groups) how many of their elements fall into the same classes of hashes rule the similarity out. Under each element every text is compared with one other first, and as long as large groups stay open
+   with further ones. What all these links do not connect yet is paired in full: elements of up to ``block`` texts in one
+   task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own.
 
 Defined results: texts without words have the empty set and are equal; repeated rows get the same component; a null id
 names a component only if all its members have null ids; one row of each component stays, that with the smallest id (null
@@ -35,8 +37,12 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import Scratch, blocks, components, released, relieved, row_digest, rows_of, small, written_for_later
 
-#: Texts whose shingles are counted for the order, and the most shingles that it ranks.
-SAMPLE, RANKED = 8192, 200_000
+#: Texts whose shingles are counted for the first order, and the most shingles that the sample or a round ranks.
+SAMPLE, RANKED = 8192, 500_000
+#: Texts under an element that make it move back, how often that is done, and how often groups are compared with one text.
+HOT, ROUNDS, STARS = 16, 3, 2
+#: Texts of an open group from which on their sketches bound pairs, and counters of a sketch.
+LARGE, COUNTERS = 32, 128
 
 
 def shingles(text: str | bytes | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
@@ -62,6 +68,11 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(simhash.set_in(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many elements of a set fall into each of COUNTERS classes: two sets share at most the sum of the lesser numbers."""
+    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 0xFFFF).astype("<u2").tobytes()
+
+
 def head(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray, share: int) -> np.ndarray:
     """What a set is posted under: its first elements by (count, hash). ranked: sorted hashes with counts; others have 0."""
     if not len(hashes):
@@ -78,34 +89,76 @@ def reaches(common: np.ndarray, n: np.ndarray, m: np.ndarray, share: int) -> np.
     return common * (100 + share) >= share * (n + m)
 
 
-def pairs_under(x: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_under(x: np.ndarray, share: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices of rows (root, size, place of the common element) to compare: of two roots and not ruled out."""
     a, b = [], []
+    full = np.zeros(len(x), bool) if sketches is None else (sketches == 0xFFFF).any(1)
     for i in range(len(x) - 1):
         y = x[i + 1 :]
         most = np.minimum(x[i, 1] - x[i, 2], y[:, 1] - y[:, 2])
         j = np.flatnonzero((y[:, 0] != x[i, 0]) & reaches(most, x[i, 1], y[:, 1], share)) + i + 1
+        if sketches is not None and len(j):
+            shared = np.minimum(sketches[i], sketches[j]).sum(1, dtype=np.int64)
+            j = j[reaches(shared, x[i, 1], x[j, 1], share) | full[j] | full[i]]
         a.append(np.full(len(j), i))
         b.append(j)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
 def order_of(texts: DataFrame, ngram: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several of a sample of texts (_row, _text) share, sorted, and their counts."""
+    """Hashes that several of a sample of texts (_row, _text) share, sorted, and their counts as for all texts."""
 
     @F.pandas_udf("array<long>")
     def of(values: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, ngram).view(np.int64) for t in values], dtype=object)
 
-    some = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, texts.count())))
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * share)
     counted = texts.where(some).select(F.explode(of("_text")).alias("h")).groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
-    ranked, counts = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    ranked, counts = counted["h"].to_numpy(np.int64).view(np.uint64), (counted["count"].to_numpy(np.int64) / share).astype(np.int64)
     by = np.argsort(ranked)
     return ranked[by], counts[by]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes (id, rep, n, head) whose whole sets have the similarity."""
+def moved_back(ranked: np.ndarray, counts: np.ndarray, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order with the counts k of the hashes h where these are greater than before, and the hashes that they move."""
+    every = np.union1d(ranked, h)
+    old, new = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    old[np.searchsorted(every, ranked)] = counts
+    new[np.searchsorted(every, h)] = k
+    return every, np.maximum(old, new), every[new > old]
+
+
+def refined(heads: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, order: tuple[np.ndarray, np.ndarray], ngram: int, share: int, scratch: Scratch) -> DataFrame:
+    """heads (id, n, head) by an order in which the elements under which many are posted come later."""
+    for _ in range(ROUNDS):
+        found = heads.select(F.explode("head").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).orderBy(F.desc("k"), "h").limit(RANKED).toPandas()
+        ranked, counts, moved = moved_back(*order, found["h"].to_numpy(np.int64).view(np.uint64), found["k"].to_numpy(np.int64))
+        order = ranked, counts
+        released(heads.sparkSession)
+        if not len(moved):
+            break
+
+        def anew(batches: Iterable[pa.RecordBatch], ranked: np.ndarray = ranked, counts: np.ndarray = counts) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, some in blocks(x.as_py() for x in batch.column(2).cast(pa.binary())):
+                    new = [head(shingles(t, ngram), ranked, counts, share).view(np.int64) for t in some]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, new)]), pa.int32()), pa.array(np.concatenate(new)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(some)), batch.column(1).slice(i, len(some)), lists], ["id", "n", "head"])
+            relieved()
+
+        # an element that moves back leaves the heads that it is not in as they are
+        hot = F.broadcast(heads.sparkSession.createDataFrame(pd.DataFrame({"h": moved.view(np.int64)})))
+        changed = scratch(heads.select("id", F.explode("head").alias("h")).join(hot, "h", "left_semi").select("id").distinct(), "changed")
+        rows = small(scratch(changed.join(nodes.select("id", "n", "rep._row"), "id"), "rows"))
+        read = texts.join(rows, "_row")
+        again = (read.dropDuplicates(["id"]) if repeats else read).select("id", "n", "_text").mapInArrow(anew, "id long, n int, head array<long>")
+        heads = scratch(heads.join(small(changed), "id", "left_anti").unionByName(again), "heads")
+    return heads
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes (id, rep) with heads (id, n, head) whose whole sets have the similarity."""
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +171,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool
 
     # what two heads share and what can follow them bounds what the sets share
     ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    heads = nodes.select("id", "n", "head").join(small(scratch(ids(pairs), "asked")), "id")
+    heads = heads.join(small(scratch(ids(pairs), "asked")), "id")
     x, y = (heads.select(F.col("id").alias(c), F.col("n").cast("long").alias("n" + c), F.col("head").alias("h" + c)) for c in "ab")
     most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
     pairs = scratch(pairs.join(x, "a").join(y, "b").where(most * (100 + share) >= (F.col("na") + F.col("nb")) * share).select("a", "b"), "pairs")
@@ -132,68 +185,95 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool
     return links
 
 
-def links(nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
-    """(a, b) links of nodes (id, rep, n, head, fp) that connect just what all pairs of the similarity connect."""
+def links(nodes: DataFrame, heads: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links of nodes (id, rep, n, fp, sketch) with heads (id, n, head) that connect just what all pairs of the similarity connect."""
     # one node of each fingerprint stands for it in the covering tables, the others are paired with that one
     prints = scratch(nodes.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("k")), "prints")
     of = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias("lead_" + c))
     close = simhash.links(prints.select("fp"), radius, block, scratch).join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
     equal = nodes.select("id", "fp").join(prints.where("k > 1"), "fp").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
-    posted = nodes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
+    posted = heads.select("id", F.col("n").cast("long").alias("n"), F.posexplode("head").alias("at", "h"))
     shared = scratch(posted.join(posted.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h"), "posted")
     released(nodes.sparkSession)
-    leads = shared.join(shared.groupBy("h").agg(F.min("id").alias("id")), ["h", "id"]).select("h", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
 
     def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
         return F.least(n - i, m - j) * (100 + share) >= (n + m) * share
 
-    stars = shared.join(leads, "h").where("id <> lead").where(possible(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    proposed = close.unionByName(equal).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = verified(scratch(proposed, "stars"), nodes, texts, repeats, ngram, share, scratch)
-    roots = components(first, scratch).withColumnRenamed("node", "id")
-    rooted = scratch(shared.select("h", "id", "n", "at", "k").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    open_ = rooted.join(rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("h"), "h")
-    member = F.struct("id", "root", "n", "at")
-    few = open_.where(F.col("k") <= block).groupBy("h").agg(F.collect_list(member).alias("m")).select("m")
-    dealt = open_.where(F.col("k") > block).withColumn("blocks", F.ceil(F.col("k") * 1.25 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    def stars(members: DataFrame, turn: int) -> DataFrame:
+        """Each member of a group with the one that a hash of the turn chooses, if they have different roots."""
+        chosen = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("r"), F.xxhash64("id", F.lit(turn)).alias("x"), "id")) if turn else F.min(F.struct("id"))
+        lead = members.join(members.groupBy("h").agg(chosen.alias("c")).select("h", "c.id"), ["h", "id"]).select("h", F.col("id").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
+        met = members.join(lead, "h").where("root <> lead_root").where(possible(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at")))
+        return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+
+    rooted, found = shared.withColumn("root", F.col("id")), None
+    for turn in range(STARS):
+        pairs = stars(rooted, turn)
+        if not turn:
+            pairs = pairs.unionByName(close.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        now = verified(scratch(pairs.distinct(), "stars"), nodes, heads, texts, repeats, ngram, share, scratch)
+        found = now if found is None else found.unionByName(now)
+        roots = components(found, scratch).withColumnRenamed("node", "id")
+        rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = scratch(rooted.join(rooted.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("h"), "h"), "open")
+        rooted = open_
+        posts, most = open_.groupBy("h").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+        if most <= 2 * HOT * posts:
+            break
+    first = found
+    sized = open_.join(open_.groupBy("h").agg(F.count("*").alias("c")), "h").drop("k")
+    member, wide = F.struct("id", "root", "n", "at"), F.struct("id", "root", "n", "at", "sketch")
+    few = sized.where(F.col("c") < LARGE).groupBy("h").agg(F.collect_list(member).alias("m"))
+    many = sized.where(F.col("c") >= LARGE).join(nodes.select("id", "sketch"), "id")
+    whole = many.where(F.col("c") <= block).groupBy("h").agg(F.collect_list(wide).alias("m")).select("m")
+    dealt = many.where(F.col("c") > block).withColumn("blocks", F.ceil(F.col("c") * 1.25 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = paired.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(member).alias("m")).select("m")
+    parts = paired.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(wide).alias("m")).select("m")
+
+    def compared(group: list, sketches: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        ids, *x = (np.asarray(v, np.int64) for v in group)
+        i, j = pairs_under(np.stack(x, 1), share, sketches)
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     @F.pandas_udf("a array<long>, b array<long>")
     def under(ids: pd.Series, root: pd.Series, n: pd.Series, at: pd.Series) -> pd.DataFrame:
-        out = []
-        for one, *x in zip(ids, root, n, at, strict=True):
-            one = np.asarray(one, np.int64)
-            i, j = pairs_under(np.stack([np.asarray(v, np.int64) for v in x], 1), share)
-            out.append((np.minimum(one[i], one[j]), np.maximum(one[i], one[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    met = few.unionByName(large).select(under(*[F.col(f"m.{c}") for c in ("id", "root", "n", "at")]).alias("p"))
+        return pd.DataFrame([compared(g, None) for g in zip(ids, root, n, at, strict=True)], columns=["a", "b"])
+
+    @F.pandas_udf("a array<long>, b array<long>")
+    def under_large(ids: pd.Series, root: pd.Series, n: pd.Series, at: pd.Series, sketches: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compared(g, np.frombuffer(b"".join(map(bytes, x)), "<u2").reshape(-1, COUNTERS)) for *g, x in zip(ids, root, n, at, sketches, strict=True)], columns=["a", "b"])
+
+    columns = [F.col(f"m.{c}") for c in ("id", "root", "n", "at")]
+    large = scratch(whole.unionByName(parts).select(under_large(*columns, F.col("m.sketch")).alias("p")), "large", rows=8)
+    met = few.select(under(*columns).alias("p")).unionByName(large)
     rest = scratch(met.select(F.explode(F.arrays_zip("p.a", "p.b")).alias("p")).select("p.a", "p.b").distinct(), "rest")
-    return first.unionByName(verified(rest, nodes, texts, repeats, ngram, share, scratch))
+    return first.unionByName(verified(rest, nodes, heads, texts, repeats, ngram, share, scratch))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
     """Rows (_key, _row, d0, d1); of each set d0, d1, rep (null, _key and _row of its component's first row); and whether rows repeat."""
     texts = docs.select(F.col(f"`{key}`").alias("_key"), row_digest(key, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    ranked, counts = order_of(texts, ngram)
+    ranked, counts = order = order_of(texts, ngram)
 
-    @F.pandas_udf("d0 long, d1 long, n int, fp long, head array<long>")
+    @F.pandas_udf("d0 long, d1 long, n int, fp long, sketch binary, head array<long>")
     def of(values: pd.Series) -> pd.DataFrame:
         rows = []
         for t in values:
             s = shingles(t, ngram)
-            rows.append((*digest(s), len(s), print_of(s), head(s, ranked, counts, share).view(np.int64)))
+            rows.append((*digest(s), len(s), print_of(s), sketch(s), head(s, ranked, counts, share).view(np.int64)))
         del values
         relieved()
-        return pd.DataFrame(rows, columns=["d0", "d1", "n", "fp", "head"])
+        return pd.DataFrame(rows, columns=["d0", "d1", "n", "fp", "sketch", "head"])
 
     prints = scratch(texts.select("_key", "_row", of("_text").alias("p")).select("_key", "_row", "p.*"), "shingles")
     first = F.min(F.struct(F.col("_key").isNull().alias("null"), "_key", "_row"))
-    nodes = scratch(prints.groupBy("d0", "d1").agg(first.alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    whole = scratch(prints.groupBy("d0", "d1").agg(first.alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = whole.drop("head")
     repeats = not prints.groupBy("_row").count().where("count > 1").isEmpty()
-    roots = components(links(nodes, texts.select("_row", "_text"), repeats, ngram, share, radius, block, scratch), scratch)
+    said = texts.select("_row", "_text")
+    heads = refined(whole.select("id", "n", "head"), nodes, said, repeats, order, ngram, share, scratch)
+    roots = components(links(nodes, heads, said, repeats, ngram, share, radius, block, scratch), scratch)
     rooted = nodes.select("id", "d0", "d1", "rep").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     return prints, rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("d0", "d1", F.col("first").alias("rep")), repeats
 

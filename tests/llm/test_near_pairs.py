@@ -73,3 +73,37 @@ def test_heads_meet_at_any_order():
         same = len(np.intersect1d(a, b))
         if same * 100 >= 80 * (len(a) + len(b) - same):
             assert np.isin(similar.head(a, ranked, counts, 80), similar.head(b, ranked, counts, 80)).any()
+
+
+def test_bounds_never_rule_a_pair_out():
+    """What sketches and heads bound is at least what the sets share, at any order and after elements moved back."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.85], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64))))
+        same = len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(similar.sketch(s), "<u2").astype(int) for s in (a, b))
+        assert np.minimum(x, y).sum() >= same
+        ranked, counts, moved = similar.moved_back(a[::7], np.full(len(a[::7]), 3), a[::5], rng.integers(1, 9, len(a[::5])))
+        assert set(moved) <= set(a[::5]) and (np.diff(ranked.view(np.int64)) > 0).all()
+        ha, hb = (similar.head(s, ranked, counts, 80) for s in (a, b))
+        assert len(np.intersect1d(ha, hb)) + max(len(a) - len(ha), len(b) - len(hb)) >= same
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_large_groups_of_borderline_copies(spark, block):
+    """Many copies of one text, each changed so that some pairs reach 0.8 and some do not, under a passage that others share."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        changed = list(base)
+        for _ in range(rng.randint(1, 4)):
+            changed[rng.randrange(120)] = word()
+        texts.append(" ".join(changed))
+    texts += [" ".join([*passage, *[word() for _ in range(60)]]) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, block=block).collect()}
+    assert got == dict(enumerate(all_pairs(texts)))
