@@ -86,8 +86,9 @@ def sanitised_for_embedding(text: Column) -> Column:
 
 
 def clean_utf8(text: Column) -> Column:
-    """Without NUL and without what is not valid UTF-8."""
-    return F.replace(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")), F.lit("\0"), F.lit(""))
+    """Without NUL; what is not valid UTF-8, such as a lone surrogate, goes, and a replacement character that was there stays."""
+    kept = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    return F.replace(kept, F.lit("\0"), F.lit(""))
 
 
 def storage_size(text: Column) -> Column:
@@ -186,6 +187,37 @@ def snippet(text: Column, words: Column, around: int = 200) -> Column:
     return F.when(F.size(places) > 0, F.concat(F.lit("... "), stripped(cut), F.lit(" ..."))).otherwise(start)
 
 
+#: Characters on either side of a match, of a match, and of a whole snippet.
+AROUND, MATCHED, SHOWN = 200, 200, 800
+
+
+def regex_snippet(text: Column, patterns: list[str]) -> Column:
+    """The earliest match of any pattern between dots, with what stands around it in one line; empty without a match."""
+    first = lambda p: F.when(text.rlike(p), F.struct(F.length(F.element_at(F.split(text, p, 2), 1)).alias("at"), F.regexp_extract(text, p, 0).alias("m")))
+    places = F.filter(F.array(*[first(p) for p in patterns]), lambda x: x.isNotNull())
+    least = F.array_min(F.transform(places, lambda x: x["at"]))
+    best = F.try_element_at(F.filter(places, lambda x: x["at"] == least), F.lit(1))
+    at, m = best["at"], best["m"]
+    begin = F.greatest(at - AROUND, F.lit(0))
+    shown = F.when(F.length(m) > MATCHED, F.concat(F.substring(m, 1, MATCHED), F.lit("..."))).otherwise(m)
+    line = F.concat(F.substring(text, begin + 1, at - begin), shown, F.substring(text, at + F.length(m) + 1, F.lit(AROUND)))
+    line = stripped(F.regexp_replace(F.replace(line, F.lit("\n"), F.lit(" ")), " {2,}", " "))
+    cut = F.when(F.length(line) > SHOWN, F.concat(F.substring(line, 1, SHOWN), F.lit("..."))).otherwise(line)
+    return F.when(F.size(places) > 0, F.concat(F.lit("... "), cut, F.lit(" ..."))).otherwise(F.lit(""))
+
+
+def closed_up(text: Column) -> Column:
+    """Without spaces after or before anything but Latin letters, digits and the marks that a space may follow or precede."""
+    after = F.regexp_replace(text, r"(?i)([^a-z0-9.,)>]) +([^ ])", "$1$2")
+    return F.regexp_replace(after, r"(?i)([^ ]) +([^a-z0-9.,(<])", "$1$2")
+
+
+def newest(line: Column, number: bool = False) -> Column:
+    """The greatest of all lines but ``nan`` as times (text), 1970 if there is none; or as numbers, 0 if there is none."""
+    kept = F.when(line != "nan", line)
+    return F.greatest(F.coalesce(F.max(kept.cast("long")), F.lit(0)), F.lit(0)) if number else F.greatest(F.coalesce(F.max(kept), F.lit("")), F.lit("1970-01-01 00:00:00"))
+
+
 def message_tokens(*parts: Column) -> Column:
     """A quarter of the characters of all parts joined by line feeds, rounded up, and 8."""
     return F.floor((F.length(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts])) + 3) / 4) + 8

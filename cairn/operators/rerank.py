@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from cairn.functions.text import clamp, clean_passage, token_set
+from cairn.functions.text import clamp, clean_passage, enriched_passage, token_set
 
 
 def lexical_score(query_terms: Column, passage_terms: Column) -> Column:
@@ -49,14 +49,21 @@ def over_or_best(ranked: DataFrame, threshold: float, floor: float = 0.15) -> Da
     return both.withColumn("_keep", F.when(F.max("_once").over(w), F.col("_once")).otherwise(F.col("_again"))).where("_keep").drop("_once", "_again", "_keep")
 
 
-def stage(hits: DataFrame, model_score: Column, k: int, threshold: float = 0.2, boost: float = 1.0, on: bool = True) -> DataFrame:
-    """Hits as the k chosen of each query, with their composite scores.
+def stage(hits: DataFrame, model_score: Column | Callable[[Column], Column], k: int, threshold: float = 0.2, boost: float = 1.0, on: bool = True) -> DataFrame:
+    """Hits as the k chosen of each query, with their composite scores and mmr_rank.
 
-    hits: query_id, content, score, match_type, chunk_type, start_at, end_at, ordinal. Blank passages go; hits that were
-    loaded directly (match type 7) count as certain, pass no threshold and come after the others.
+    hits: query_id, content, score, match_type, chunk_type, start_at, end_at, ordinal, and image_info and metadata, which
+    then enrich the passage that is judged. model_score may be a function of that passage. Blank passages go; hits that
+    were loaded directly (match type 7) count as certain, pass no threshold and come after the others. A query with a
+    score of null, from a model that failed, gets no rows: its callers fall back on the hits.
     """
+    rich = "image_info" in hits.columns and "metadata" in hits.columns
+    passage = enriched_passage(F.col("content"), F.col("image_info"), F.col("metadata")) if rich else clean_passage(F.col("content"))
     direct = F.col("match_type") == 7
-    judged = hits.where(direct | (F.trim(clean_passage(F.col("content"))) != "")).withColumn("model_score", F.when(direct, F.lit(1.0)).otherwise(model_score))
+    score = model_score(F.col("_passage")) if callable(model_score) and not isinstance(model_score, Column) else model_score
+    judged = hits.withColumn("_passage", passage).where(direct | (F.trim("_passage") != "")).withColumn("model_score", F.when(direct, F.lit(1.0)).otherwise(score)).drop("_passage")
+    failed = F.max(F.col("model_score").isNull()).over(Window.partitionBy("query_id"))
+    judged = judged.withColumn("_failed", failed).where(~F.col("_failed")).drop("_failed")
     order = Window.partitionBy("query_id").orderBy(F.desc("model_score"), "ordinal")
     ranked = over_or_best(judged.where(~direct).withColumn("ordinal", F.row_number().over(order) - 1), threshold)
     later = judged.where(direct).withColumn("ordinal", F.col("ordinal").cast("int") + 1_000_000)
@@ -64,6 +71,10 @@ def stage(hits: DataFrame, model_score: Column, k: int, threshold: float = 0.2,
     return mmr(scored, k)
 
 
+#: Rows of a query that the folds on one query's candidates take at most: the over-fetch.
+CANDIDATES = 500
+
+
 def mmr_order(tokens: list[set], scores: list[float], k: int, weight: float = 0.7, swap: bool = False) -> list[int]:
     """Indices in the order of choice: best weight x score - (1 - weight) x greatest Jaccard to those chosen before.
 
@@ -93,8 +104,9 @@ def mmr_order(tokens: list[set], scores: list[float], k: int, weight: float = 0.
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.7, per: str = "query_id", score: str = "score", text: str = "content", order: str = "ordinal", swap: bool = False) -> DataFrame:
-    """candidates (at most the over-fetch of a query) in the order of choice: all columns and mmr_rank from 1."""
-    with_tokens = candidates.withColumn("_tokens", token_set(F.col(text)))
+    """candidates in the order of choice: all columns and mmr_rank from 1. Of a query the first CANDIDATES take part."""
+    first = Window.partitionBy(per).orderBy(order)
+    with_tokens = candidates.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= CANDIDATES).drop("_nth").withColumn("_tokens", token_set(F.col(text)))
     schema = StructType([*candidates.schema.fields, StructField("mmr_rank", IntegerType())])
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,21 +1,29 @@
 """Keyword and vector retrieval for many queries at once, filters, and rank fusion.
 
-A keyword index is two tables: postings (row_id, term, tf) and lengths (row_id, len). Queries are a table too, so one
-job answers all of them: terms meet postings by an equi-join, scores are partial sums, and top-k is a window per query.
-Corpus totals are one row and the query side is held small by its contract (``BROADCAST_ROWS``), checked before it is
-broadcast.
+Queries are a table, so one job answers all of them. A keyword index is two tables: postings (row_id, term, tf) and
+lengths (row_id, len); ``bm25`` meets the postings of the asked terms by an equi-join. Without an index, ``bm25_top``
+reads a corpus twice: for the counts of the asked terms, then for scores, of which each task keeps the k best of every
+query, so that what is shuffled does not grow with queries times rows. Sides are broadcast only by what the planner knows
+of their size (``BROADCAST_BYTES``), or where their rows were counted.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of a side that may be broadcast without asking the planner.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes of a side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
+#: Scores (rows x queries) that a task holds at a time.
+SCORES = 1 << 21
 K1, B = 1.2, 0.75
 
 #: Small Latin letters with a mark, and the plain letters that they decompose to.
@@ -38,6 +46,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def planned_small(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df with a broadcast hint if the planner knows that the table it is made from is small; nothing is run."""
+    return F.broadcast(df) if int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES else df
+
+
 def postings(rows: DataFrame, row_id: str, *texts: str) -> DataFrame:
     """(row_id, term, tf) over all the given columns."""
     all_terms = F.flatten(F.array(*[terms(F.coalesce(F.col(t).cast("string"), F.lit(""))) for t in texts]))
@@ -59,12 +72,80 @@ def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     totals = sizes.agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len"))
     # a posting's gain is the same for all queries, so lengths and counts are joined before queries multiply the rows
-    matched = index.join(small(asked.select("term").distinct()), "term")
+    matched = index.join(planned_small(asked.select("term").distinct(), queries), "term")
     df = matched.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     gain = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    gains = matched.join(sizes, "row_id").join(small(df), "term").join(F.broadcast(totals)).select("term", "row_id", gain.alias("gain"))
-    return gains.join(small(asked), "term").groupBy("query_id", "row_id").agg((F.sum(F.col("times") * F.col("gain")) * 1e6).alias("score"))
+    gains = matched.join(sizes, "row_id").join(planned_small(df, queries), "term").join(F.broadcast(totals)).select("term", "row_id", gain.alias("gain"))
+    return gains.join(planned_small(asked, queries), "term").groupBy("query_id", "row_id").agg((F.sum(F.col("times") * F.col("gain")) * 1e6).alias("score"))
+
+
+def _counted(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, asked term and count of each pair of them that occurs, and the terms of each row."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    which = pc.fill_null(pc.index_in(lists.values, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[ends[0] : ends[-1]]
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(size)), size)
+    met = which >= 0
+    pairs, tf = np.unique(row[met] * len(known) + which[met], return_counts=True)
+    return pairs // max(1, len(known)), pairs % max(1, len(known)), tf, size
+
+
+def bm25_top(queries: DataFrame, rows: DataFrame, row_id: str, text: str, k: int, keep: Column | None = None, digits: int = 2) -> DataFrame:
+    """(query_id, row_id, score, rank): the k best rows of each query (query_id, query) over a whole corpus.
+
+    Scores are those of ``bm25``, rounded; equal ones go by row_id. Counts and lengths are those of all rows, results only
+    rows where ``keep`` holds. The queries are a stated set: their terms, and one count for each, come to the driver.
+    Null texts have no terms; repeated rows are ranked each.
+    """
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()
+    ids = sorted({r.query_id for r in asked})
+    names = sorted({r.term for r in asked})
+    place, at = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(names)}
+    by_term = np.array(sorted((at[r.term], place[r.query_id], r.times) for r in asked), np.int64).reshape(-1, 3)
+    first = np.searchsorted(by_term[:, 0], np.arange(len(names) + 1))
+    source = rows.select(F.col(row_id).alias("row_id"), F.coalesce(terms(F.col(text).cast("string")), F.array().cast("array<string>")).alias("terms"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, total, found = pa.array(names, pa.string()), 0, 0, np.zeros(len(names), np.int64)
+        for batch in batches:
+            _, term, _, size = _counted(batch.column(0), known)
+            found += np.bincount(term, minlength=len(names))
+            n, total = n + len(size), total + int(size.sum())
+        # term -1 has the rows and their terms
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(found)], pa.int64()), pa.array([n, *found[found > 0]], pa.int64()), pa.array([total, *[0] * int((found > 0).sum())], pa.int64())], ["term", "n", "total"])
+
+    counts = {r.term: (r.n, r.total) for r in source.select("terms").mapInArrow(count, "term long, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    n_rows, total = counts.get(-1, (0, 0))
+    n = np.array([counts.get(i, (0, 0))[0] for i in range(len(names))], float)
+    idf = np.log((n_rows - n + 0.5) / (n + 0.5))
+    idf = np.where(idf <= 0, 1e-6, idf)
+    mean = total / n_rows if n_rows else 1.0
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, best, least = pa.array(names, pa.string()), [], np.zeros(len(ids))
+        step = max(1, SCORES // max(1, len(ids)))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
+            row, term, tf, size = _counted(batch.column(1), known)
+            gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
+            asking = first[term + 1] - first[term]
+            ends = np.cumsum(asking)
+            use = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[term] - ends + asking, asking)
+            table = np.bincount(np.repeat(row, asking) * len(ids) + by_term[use, 1], weights=by_term[use, 2] * np.repeat(gain, asking), minlength=len(size) * len(ids)).reshape(len(size), len(ids))
+            table = np.floor(table * 1e6 * 10**digits + 0.5) / 10**digits
+            table[~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)] = 0
+            if len(table) > k:  # what k rows of this batch outdo is not among the best
+                least = np.maximum(least, np.partition(table, -k, axis=0)[-k])
+            r, q = np.nonzero((table > 0) & (table >= least))
+            best.append(pd.DataFrame({"q": q, "score": table[r, q], "row_id": batch.column(0).take(pa.array(r)).to_pandas()}))
+            best = [pd.concat(best).sort_values(["q", "score", "row_id"], ascending=[True, False, True]).groupby("q").head(k)]
+        for kept in best:
+            columns = [ids[q] for q in kept["q"]], kept["row_id"].tolist(), kept["score"].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["query_id", "row_id", "score"])
+
+    types = [queries.schema["query_id"].dataType, source.schema["row_id"].dataType]
+    kinds = [*map(to_arrow_type, types), pa.float64()]
+    return top(source.mapInArrow(score, f"query_id {types[0].simpleString()}, row_id {types[1].simpleString()}, score double"), k)
 
 
 def top(hits: DataFrame, k: int, per: str = "query_id", score: str = "score", tie: str = "row_id") -> DataFrame:
@@ -93,15 +174,21 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, row_id: str, vector: str
     return rows.join(small(asked), "dim").select("query_id", "row_id", score.alias("score"))
 
 
-def scoped(rows: DataFrame, kb: str = "kb_id", knowledge: str = "knowledge_id", tag: str = "tag_id", chunk: str = "chunk_id", in_kb: Iterable = (), in_knowledge: Iterable = (), in_tag: Iterable = (), not_knowledge: Iterable = (), not_chunk: Iterable = ()) -> DataFrame:
-    """Rows within all stated scopes; an empty list is no filter, and a null never passes a NOT IN."""
+def in_scopes(kb: str = "kb_id", knowledge: str = "knowledge_id", tag: str = "tag_id", chunk: str = "chunk_id", in_kb: Iterable = (), in_knowledge: Iterable = (), in_tag: Iterable = (), not_knowledge: Iterable = (), not_chunk: Iterable = ()) -> Column:
+    """Whether a row is within all stated scopes; an empty list is no filter, and a null never passes a NOT IN."""
+    passes = F.lit(True)
     for column, values in ((kb, in_kb), (knowledge, in_knowledge), (tag, in_tag)):
         if values := list(values):
-            rows = rows.where(F.col(column).isin(values))
+            passes = passes & F.col(column).isin(values)
     for column, values in ((knowledge, not_knowledge), (chunk, not_chunk)):
         if values := list(values):
-            rows = rows.where(~F.col(column).isin(values))
-    return rows
+            passes = passes & ~F.col(column).isin(values)
+    return passes
+
+
+def scoped(rows: DataFrame, **scopes) -> DataFrame:
+    """Rows within all scopes of ``in_scopes``."""
+    return rows.where(in_scopes(**scopes))
 
 
 def enabled(rows: DataFrame, flag: str = "is_enabled") -> DataFrame:

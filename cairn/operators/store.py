@@ -120,5 +120,10 @@ def document_info(chunks: DataFrame, per: str = "knowledge_id") -> DataFrame:
     return chunks.groupBy(per).agg(F.count("*").alias("chunk_count"), F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"))
 
 
+def base_counts(chunks: DataFrame) -> DataFrame:
+    """kb_id, documents and chunks of each base."""
+    return chunks.groupBy("kb_id").agg(F.countDistinct("knowledge_id").alias("documents"), F.count("*").alias("chunks"))
+
+
 def storage_estimate(rows: DataFrame, text: str = "content") -> DataFrame:
     return rows.agg(F.sum(F.octet_length(text) + 200).alias("bytes"))

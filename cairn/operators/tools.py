@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import regex_snippet
 from cairn.operators.merge import dedup_sequential
 from cairn.operators.rerank import mmr
 
@@ -15,12 +16,13 @@ FETCH, RETURN, DIVERSE, DOCUMENTS = 500, 30, 10, 20
 
 
 def checked(pattern: str) -> str:
-    """The pattern for Spark, without regard to case, over lines, by Unicode classes; ValueError if it does not compile."""
+    """The pattern for Spark, without regard to case, over lines, by Unicode classes; ValueError if the executors' engine refuses it."""
+    ready = f"(?imU){pattern}"
     try:
-        re.compile(pattern)
-    except re.error as e:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(ready)
+    except (IllegalArgumentException, Py4JJavaError) as e:
         raise ValueError(f"invalid pattern: {e}") from e
-    return f"(?imU){pattern}"
+    return ready
 
 
 def in_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
@@ -69,11 +71,21 @@ def grep(chunks: DataFrame, patterns: list[str], titles: DataFrame | None = None
 
 
 def grep_documents(found: DataFrame, patterns: list[str]) -> DataFrame:
-    """Per document of the matches: hits, title match, hits of each pattern, patterns met, best score; at most DOCUMENTS."""
-    counts = [F.sum(F.regexp_count("content", F.lit(checked(p)))).alias(f"hits_{i}") for i, p in enumerate(patterns)]
-    by = found.groupBy("tenant_id", "kb_id", "knowledge_id").agg(F.count("*").alias("chunk_hits"), F.max("title_match").alias("title_match"), F.max("score").alias("score"), F.max("total_chunks").alias("total_chunks"), *counts)
-    met = sum(((F.col(f"hits_{i}") > 0).cast("int") for i in range(len(patterns))), F.lit(0))
-    return by.withColumn("distinct_patterns", met).orderBy(F.desc("title_match"), F.desc("distinct_patterns"), F.desc("chunk_hits"), F.desc("score"), "knowledge_id").limit(DOCUMENTS)
+    """Per document of the matches: title, hits, title match, hits of each pattern and of all, patterns met, best score,
+    the newest chunk's first snippet and question; at most DOCUMENTS."""
+    ready = [checked(p) for p in patterns]
+    counts = [F.sum(F.regexp_count("content", F.lit(p))).alias(f"hits_{i}") for i, p in enumerate(ready)]
+    newest = F.struct("created_at", "seq_id")
+    said = regex_snippet(F.col("content"), ready)
+    question = F.get_json_object("metadata", "$.standard_question") if "metadata" in found.columns else F.lit(None).cast("string")
+    by = found.withColumn("_snippet", F.nullif(said, F.lit(""))).withColumn("_question", F.nullif(question, F.lit(""))).groupBy("tenant_id", "kb_id", "knowledge_id").agg(
+        F.max(F.coalesce(F.trim("title"), F.lit(""))).alias("title"), F.count("*").alias("chunk_hits"), F.max("title_match").alias("title_match"), F.max("score").alias("score"), F.max("total_chunks").alias("total_chunks"),
+        F.max_by("_snippet", F.when(F.col("_snippet").isNotNull(), newest)).alias("snippet"), F.max_by("_question", F.when(F.col("_question").isNotNull(), newest)).alias("faq_question"), *counts,
+    )
+    each = [F.col(f"hits_{i}") for i in range(len(patterns))]
+    met, total = sum(((c > 0).cast("int") for c in each), F.lit(0)), sum(each, F.lit(0))
+    named = by.withColumn("title", F.when(F.col("title") == "", F.lit("Untitled")).otherwise(F.col("title"))).withColumn("distinct_patterns", met).withColumn("total_hits", total)
+    return named.orderBy(F.desc("title_match"), F.desc("distinct_patterns"), F.desc("total_hits"), F.desc("chunk_hits"), "title", "knowledge_id", "kb_id").limit(DOCUMENTS)
 
 
 def knowledge_search(hits: DataFrame, k: int = 5) -> DataFrame:

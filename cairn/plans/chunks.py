@@ -155,16 +155,37 @@ def range_slice(t: Tables) -> DataFrame:
     return c.select("chunk_id", merge.slice_of(F.col("content"), F.col("start_at").cast("int"), F.lit(20), F.lit(120)).alias("part"))
 
 
-@query()
+#: b after a without the longest end of a that b starts with, in DuckDB's SQL.
+JOINED = "({a} || substr({b}, 1 + coalesce(list_max(list_filter(range(0, (least(length({a}), length({b})) + 1)::BIGINT), lambda k: right({a}, k) = left({b}, k))), 0)::BIGINT))"
+
+
+def joined_sql(a: str, b: str) -> str:
+    return JOINED.format(a=a, b=b)
+
+
+@query(f"""WITH RECURSIVE {LINES}, pl AS (SELECT knowledge_id, chunk_id, content, start_at, end_at, row_number() OVER (PARTITION BY knowledge_id ORDER BY chunk_index) AS n, chunk_index FROM ch),
+lst AS (SELECT knowledge_id, list(content ORDER BY n) AS c, count(*) AS top FROM pl GROUP BY knowledge_id),
+h0 AS (SELECT chunk_id, knowledge_id, content AS base, start_at, n, n - 1 AS p, n + 1 AS f, CASE WHEN n > 1 THEN c[n - 1] ELSE '' END AS w, CASE WHEN n < top THEN c[n + 1] ELSE '' END AS y, top FROM pl JOIN lst USING (knowledge_id) WHERE chunk_index % 4 = 0 AND length(content) BETWEEN 1 AND 349),
+h AS (SELECT chunk_id, knowledge_id, base, start_at, p, f, w, y, top, length(m) AS size, m, 0 AS step FROM (SELECT *, substr({joined_sql(joined_sql('w', 'base'), 'y')}, 1, 850) AS m FROM h0)
+ UNION ALL SELECT chunk_id, knowledge_id, base, start_at, p2, f2, w2, y2, top, length(m), m, step + 1 FROM (SELECT *, substr({joined_sql(joined_sql('w2', 'base'), 'y2')}, 1, 850) AS m FROM
+  (SELECT *, CASE WHEN length(m1) < 350 AND f < top THEN {joined_sql('y', 'c[f + 1]')} ELSE y END AS y2, CASE WHEN length(m1) < 350 AND f < top THEN f + 1 ELSE f END AS f2 FROM
+   (SELECT *, substr({joined_sql(joined_sql('w2', 'base'), 'y')}, 1, 850) AS m1 FROM
+    (SELECT h.* EXCLUDE (size, m), c, CASE WHEN p > 1 THEN {joined_sql('c[p - 1]', 'w')} ELSE w END AS w2, CASE WHEN p > 1 THEN p - 1 ELSE p END AS p2 FROM h JOIN lst USING (knowledge_id) WHERE h.size < 350 AND (p > 1 OR f < h.top)))))),
+e AS (SELECT chunk_id, m, w, start_at FROM h QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY step DESC) = 1),
+o AS (SELECT ch.chunk_id, coalesce(m, content) AS content, CASE WHEN w <> '' THEN greatest(e.start_at - length(w), 0) ELSE ch.start_at END AS start_at, m, ch.end_at AS old FROM ch LEFT JOIN e USING (chunk_id) WHERE chunk_index % 4 = 0)
+SELECT chunk_id, content, start_at::BIGINT AS start_at, (CASE WHEN m IS NULL THEN old ELSE start_at + length(m) END)::BIGINT AS end_at FROM o""")
 def neighbor_expand(t: Tables) -> DataFrame:
     c = line_chunks(t)
-    return merge.expand_neighbours(c.where("chunk_index % 4 = 0"), c).select("chunk_id", "content", "start_at", "end_at")
+    return merge.expand_neighbours(c.where("chunk_index % 4 = 0"), c).select("chunk_id", "content", F.col("start_at").cast("long").alias("start_at"), F.col("end_at").cast("long").alias("end_at"))
 
 
-@query()
+@query(f"""WITH {LINES}, r AS (SELECT (knowledge_id % 16)::VARCHAR AS query_id, knowledge_id, chunk_id, greatest(0, start_at - 1) AS s, end_at AS e, 1 / (chunk_index + 1) AS score, chunk_index, content FROM ch),
+g AS (SELECT *, max(e) OVER (PARTITION BY knowledge_id ORDER BY s, e, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY knowledge_id ORDER BY s, e, chunk_index ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT query_id, knowledge_id::VARCHAR AS knowledge_id, arg_min(chunk_id, chunk_index) AS chunk_id, min(s)::INTEGER AS start_at, max(e)::INTEGER AS end_at, (count(*) - 1)::INTEGER AS taken, max(score) AS score FROM i GROUP BY query_id, knowledge_id, island""")
 def merge_overlaps(t: Tables) -> DataFrame:
-    rows = line_chunks(t).where("chunk_index < 400").select((F.col("knowledge_id") % 16).cast("string").alias("query_id"), F.col("knowledge_id").cast("string").alias("knowledge_id"), "chunk_type", "chunk_id", F.greatest(F.lit(0), F.col("start_at") - 1).cast("int").alias("start_at"), F.col("end_at").cast("int").alias("end_at"), "content", (1 / (F.col("chunk_index") + 1)).alias("score"), F.col("chunk_index").alias("ordinal"))
-    return merge.merge_overlaps(rows).select("query_id", "knowledge_id", "chunk_id", "start_at", "end_at", F.size("sub_chunk_ids").alias("taken"))
+    rows = line_chunks(t).select((F.col("knowledge_id") % 16).cast("string").alias("query_id"), F.col("knowledge_id").cast("string").alias("knowledge_id"), "chunk_type", "chunk_id", F.greatest(F.lit(0), F.col("start_at") - 1).cast("int").alias("start_at"), F.col("end_at").cast("int").alias("end_at"), "content", (1 / (F.col("chunk_index") + 1)).alias("score"), F.col("chunk_index").alias("ordinal"))
+    return merge.merge_overlaps(rows).select("query_id", "knowledge_id", "chunk_id", "start_at", "end_at", F.size("sub_chunk_ids").alias("taken"), "score")
 
 
 def markdown(t: Tables) -> DataFrame:

@@ -23,6 +23,17 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return keep
 
 
+#: The least bytes of a table that is worth dealing out to idle cores.
+WORTH = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that has fewer splits than there are cores, dealt out to all of them; larger ones are read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= WORTH and df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Tables of a directory by name."""
 
@@ -30,4 +41,4 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.operators import merge, pages, rerank
+from cairn.operators import clients, merge, pages, rerank, store
 from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm_sql, tokens_sql
 from cairn.sources import documents as sources
@@ -63,9 +63,9 @@ def sanitize_base64(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(T.sanitised_for_embedding(text)).alias("digest"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
 def xml_escape(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.xml_escape(F.substring("html", 1, 300)).alias("escaped"))
+    return t.pages.select("page_id", T.xml_escape(F.col("html")).alias("escaped"))
 
 
 @query("SELECT doc_id, CASE WHEN s >= 0.8 THEN 'High Relevance' WHEN s >= 0.6 THEN 'Medium Relevance' WHEN s >= 0.4 THEN 'Low Relevance' ELSE 'Weak Relevance' END AS level, CASE doc_id % 9 WHEN 0 THEN 'Vector Match' WHEN 1 THEN 'Keyword Match' WHEN 2 THEN 'Adjacent Chunk Match' WHEN 3 THEN 'History Match' WHEN 4 THEN 'Parent Chunk Match' WHEN 5 THEN 'Relation Chunk Match' WHEN 6 THEN 'Graph Match' ELSE 'Unknown Type(' || (doc_id % 9) || ')' END AS kind FROM (SELECT doc_id, (n_chars % 100) / 100 AS s FROM documents)")
@@ -89,7 +89,10 @@ def summaries(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.summary(F.col("text"), 60).alias("line"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents), p AS (SELECT *, strpos(lower(body), 'the') AS a, strpos(lower(body), 'tion') AS c, strpos(lower(body), 'lich') AS d FROM b),
+e AS (SELECT *, list_min(list_filter([a, c, d], lambda x: x > 0)) AS pos FROM p), f AS (SELECT *, CASE pos WHEN a THEN 3 ELSE 4 END AS n, greatest(pos - 40, 1) AS s FROM e)
+SELECT doc_id, CASE WHEN pos IS NOT NULL THEN '... ' || regexp_replace(regexp_replace(replace(substr(body, s, pos - s + n + 40), chr(10), ' '), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') || ' ...'
+ WHEN length(body) > 80 THEN regexp_replace(substr(body, 1, 80), '^\s+|\s+$', '', 'g') || ' ...' ELSE body END AS snippet FROM f""")
 def snippets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.snippet(F.col("text"), T.query_words(F.lit("The tion, lich")), 40).alias("snippet"))
 
@@ -152,3 +155,24 @@ def decoded_bytes(t: Tables) -> DataFrame:
     """Text through bytes with a NUL, decoded and cleaned."""
     raw = F.encode(F.concat("lang", F.lit("\0 "), "source"), "UTF-8")
     return t.documents.select("doc_id", T.clean_utf8(sources.decoded(raw)).alias("text"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([^a-zA-Z0-9.,)>]) +([^ ])', '\1\2', 'g'), '([^ ]) +([^a-zA-Z0-9.,(<])', '\1\2', 'g')) AS digest FROM documents")
+def closed_up(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(T.closed_up(F.col("text"))).alias("digest"))
+
+
+@query("SELECT event_type, greatest(coalesce(max(CASE WHEN line <> 'nan' THEN line END), ''), '1970-01-01 00:00:00') AS latest, greatest(coalesce(max(event_id), 0), 0) AS number FROM (SELECT event_type, event_id, CASE WHEN event_id % 3 = 0 THEN 'nan' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS line FROM events) GROUP BY event_type")
+def newest_lines(t: Tables) -> DataFrame:
+    line = F.when(F.col("event_id") % 3 == 0, "nan").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return t.events.groupBy("event_type").agg(T.newest(line).alias("latest"), T.newest(F.col("event_id").cast("string"), number=True).alias("number"))
+
+
+@query("SELECT event_type AS tool, count(*) AS runs, sum((user_id % 3 = 0)::INT)::BIGINT AS failures FROM events GROUP BY event_type")
+def tool_counts(t: Tables) -> DataFrame:
+    return clients.tool_counts(t.events.select(F.col("event_type").alias("tool"), (F.col("user_id") % 3 != 0).alias("success")))
+
+
+@query("SELECT lang AS kb_id, count(DISTINCT source) AS documents, count(*) AS chunks FROM documents GROUP BY lang")
+def kb_counts(t: Tables) -> DataFrame:
+    return store.base_counts(t.documents.select(F.col("lang").alias("kb_id"), F.col("source").alias("knowledge_id")))

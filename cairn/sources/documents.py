@@ -129,6 +129,12 @@ def table_html(rows: list[list[str]]) -> str:
     return "<table>" + "".join(out) + "</table>"
 
 
+def docx_whole(data: bytes) -> str:
+    """Paragraphs, and the tables as HTML after them."""
+    text, tables = docx(data)
+    return "\n\n".join(x for x in (text, *map(table_html, tables)) if x)
+
+
 def docx_simple(data: bytes) -> str:
     """Paragraphs, then table rows with bars between the cells."""
     text, tables = docx(data)
@@ -137,11 +143,11 @@ def docx_simple(data: bytes) -> str:
 
 @F.pandas_udf(StringType())
 def docx_text(content: pd.Series) -> pd.Series:
-    """Text of DOCX bytes; null for what is none."""
+    """Text and tables of DOCX bytes; null for what is none."""
 
     def one(b: bytes | None) -> str | None:
         try:
-            return None if b is None else docx(bytes(b))[0]
+            return None if b is None else docx_whole(bytes(b))
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
             return None
 
@@ -160,15 +166,26 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("conv_id string, turn long, role string, content string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null and role is not null").drop("_bad")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table and put the new one in its place when it is whole."""
-    spark = df.sparkSession
+def _versions(spark: SparkSession, path: str) -> tuple:
     hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, final = (hadoop.Path(path + s) for s in (".new", ".old", ""))
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(final):
-        fs.rename(final, old)
-    fs.rename(new, final)
-    fs.delete(old, True)
+    marks = hadoop.Path(f"{path}/_versions")
+    fs = marks.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hadoop, fs, sorted(int(f.getPath().getName()) for f in fs.listStatus(marks)) if fs.exists(marks) else []
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df as the next version of a table. An empty file named for it is its pointer, made when it is whole: a run that breaks
+    off leaves the last version in place. The version before the last is deleted, for nothing reads it any more."""
+    hadoop, fs, known = _versions(df.sparkSession, path)
+    now = known[-1] + 1 if known else 0
+    df.write.mode("overwrite").parquet(f"{path}/v{now}")
+    fs.create(hadoop.Path(f"{path}/_versions/{now}"), True).close()
+    for old in known[:-1]:
+        fs.delete(hadoop.Path(f"{path}/_versions/{old}"), True)
+        fs.delete(hadoop.Path(f"{path}/v{old}"), True)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last whole version of a table, or None."""
+    known = _versions(spark, path)[2]
+    return spark.read.parquet(f"{path}/v{known[-1]}") if known else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.chunking import Plan
@@ -17,11 +18,12 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_stream(library: Library, docs: DataFrame, checkpoint: str, plan: Plan | None = None) -> StreamingQuery:
-    """Ingest each batch of documents; the last row of a document in a batch counts. A batch that runs again replaces its own rows."""
+    """Ingest each batch of documents; of several rows of a document in a batch the one whose text sorts last counts."""
 
     def take(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            library.ingest(batch.dropDuplicates(["tenant_id", "kb_id", "knowledge_id"]), plan)
+            one = batch.groupBy("tenant_id", "kb_id", "knowledge_id").agg(F.max(F.struct("text", "title")).alias("_d"))
+            library.ingest(one.select("tenant_id", "kb_id", "knowledge_id", "_d.title", "_d.text"), plan)
 
     return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

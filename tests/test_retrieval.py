@@ -21,7 +21,11 @@ def test_terms(spark):
 def test_texts(spark):
     assert one(spark, T.signature(F.lit(" A\u00a0\n b\u3000"))) == one(spark, T.signature(F.lit("a b"))) != ""
     assert one(spark, T.signature(F.lit(" \u3000"))) == ""
-    assert one(spark, T.clean_utf8(F.lit("a\0b"))) == "ab"
+    assert one(spark, T.clean_utf8(F.lit("a\0b\ufffd"))) == "ab\ufffd"
+    broken = F.unhex(F.lit("61EDA08062")).cast("string")
+    assert one(spark, T.clean_utf8(broken)) == "ab"
+    assert one(spark, T.regex_snippet(F.lit("aa\n  bb cc" + "x" * 300), ["(?imU)c+", "(?imU)B+"])) == "... aa bb cc" + "x" * 197 + " ..."
+    assert one(spark, T.regex_snippet(F.lit("aa"), ["b"])) == "" and one(spark, T.closed_up(F.lit("中 文 and, so ( x ) 。 b"))) == "中文 and, so (x) 。b"
     assert one(spark, T.strip_think(F.lit("a<THINK>x\ny</think>b"))) == "ab"
     assert one(spark, T.head_and_tail(F.lit("x" * 300), 250)).startswith("x" * 35 + "\n\n... [output truncated: 300")
     assert one(spark, T.snippet(F.lit("aa bb cc"), F.array(F.lit("zz"), F.lit("bb")), 2)) == "... a bb c ..."
@@ -83,12 +87,36 @@ def test_links_and_sequence(spark):
     assert {r.seq_id for r in store.with_seq(rows, 7, ["knowledge_id"]).collect()} == set(range(8, 14))
 
 
+def test_versions(spark, tmp_path):
+    at = str(tmp_path / "t")
+    assert documents.current_table(spark, at) is None
+    for i in range(3):
+        documents.replace_table(spark.range(i + 1), at)
+        assert documents.current_table(spark, at).count() == i + 1
+    spark.range(9).write.parquet(f"{at}/v3")  # a run that broke off before its pointer
+    assert documents.current_table(spark, at).count() == 3
+    documents.replace_table(documents.current_table(spark, at).where("id > 0"), at)
+    assert documents.current_table(spark, at).count() == 2
+
+
+def test_whole_corpus_scores_equal_the_index(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 3 + i % 9)) if i % 6 else None) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2 zz"), (2, "w7"), (3, "none"), (4, None)], "query_id int, query string")
+    index = retrieval.bm25(asked, retrieval.postings(docs, "doc_id", "text"), retrieval.lengths(docs, "doc_id", "text")).withColumn("score", F.round("score", 2))
+    want = sorted((r.query_id, r.rank, r.row_id, r.score) for r in retrieval.top(index, 7).collect())
+    got = sorted((r.query_id, r.rank, r.row_id, r.score) for r in retrieval.bm25_top(asked, docs, "doc_id", "text", 7).collect())
+    assert got == want and len(got) == 14
+    kept = retrieval.bm25_top(asked, docs, "doc_id", "text", 7, F.col("doc_id") % 2 == 1).collect()
+    assert {r.row_id % 2 for r in kept} == {1} and retrieval.bm25_top(asked, docs.limit(0), "doc_id", "text", 7).count() == 0
+
+
 def test_scope(spark):
     rows = spark.createDataFrame([(1, "k1", "d"), (2, "k1", "d"), (1, "k2", "d")], "tenant_id int, kb_id string, knowledge_id string")
     scope = spark.createDataFrame([(1, "k1", None), (1, "k2", "other")], "tenant_id int, kb_id string, knowledge_id string")
     assert [(r.tenant_id, r.kb_id) for r in tools.in_scope(rows, scope).collect()] == [(1, "k1")]
-    with pytest.raises(ValueError, match="invalid pattern"):
-        tools.checked("(")
+    for bad in ("(", "(?P<a>b)", "x{2,1}"):  # what the executors' engine refuses, though others may take it
+        with pytest.raises(ValueError, match="invalid pattern"):
+            tools.checked(bad)
 
 
 def test_layout(spark):
@@ -109,7 +137,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.docx").write_bytes(b"no zip")
     (tmp_path / "d.bin").write_bytes(b"x")
     got = {r.path.rsplit("/", 1)[1]: r.text for r in documents.parsed(documents.files(spark, str(tmp_path))).collect()}
-    assert got == {"a.docx": "One\n\nTwo", "b.md": "# x\n![p](images/e1faffb3e614e6c2fba74296962386b7.png)\nq", "c.docx": "", "d.bin": ""}
+    assert got == {"a.docx": "One\n\nTwo\n\n<table><tr><td>c</td></tr></table>", "b.md": "# x\n![p](images/e1faffb3e614e6c2fba74296962386b7.png)\nq", "c.docx": "", "d.bin": ""}
     assert documents.docx_simple((tmp_path / "a.docx").read_bytes()) == "One\n\nTwo\n\nc"
     (tmp_path / "h.jsonl").write_text('{"conv_id":"a","turn":1,"role":"user","content":"x"}\nbroken\n')
     assert [r.content for r in documents.history(spark, str(tmp_path / "h.jsonl")).collect()] == ["x"]
