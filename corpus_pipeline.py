@@ -1,8 +1,10 @@
 """Documents to packed training sequences: language ID, near-duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a table; all but the
-last return the columns of ``documents``. A stage's table is written as Parquet and read again before the next. Null
-and empty texts have no language and leave in the first stage; an empty table passes through to no sequences.
+last return the columns of ``documents``. A stage's table is written as Parquet and read again before the next, and what
+the stage wrote on its way is deleted then. Null and empty texts have no language and leave in the first stage; an empty
+table passes through to no sequences; very long texts are read whole; of repeated rows and near copies one stays, that
+with the smallest id (ties: of the smallest text digest); further columns stay, whatever their names, to the last stage.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, packing, similar
-from cairn.llm.common import dropped, table, written
+from cairn.llm.common import dropped, swept, table, written
 from cairn.llm.registry import held_out
 
 #: The least pooled probability of a language; below it no language holds half of a text.
@@ -31,7 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a similarity of 0.8 or more on five-word shingles, that with the smallest id."""
+    """One document of each group linked at a similarity of 0.8 or more on five-word shingles, that with the smallest id.
+
+    Covering tables of SimHash fingerprints find the closest copies, prefix filtering the rest; whole shingle sets decide.
+    """
     return similar.dedup(docs)
 
 
@@ -55,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs, path = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        swept(spark)
         if last:
             dropped(spark, last)
         last = path
