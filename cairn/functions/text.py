@@ -95,24 +95,30 @@ def storage_size(text: Column) -> Column:
     return F.octet_length(text) + 200
 
 
+# Patterns of a passage's marks with what stands for them, before and after table rows are read; group n is $n.
 _URL = r"[^()\s]*(?:\([^)]*\)[^()\s]*)*"
+CLEAN = [
+    (r"(?s)```\w*\n?.*?```", ""),
+    (r"(?s)\$\$.*?\$\$", ""),
+    (r"</?[a-zA-Z][^>]*>", ""),
+    (rf"\[!\[([^\]]*)\]\(({_URL})\)\]\({_URL}\)", "![$1]($2)"),
+    (rf"!\[[^\]]*\]\({_URL}\)", ""),
+    (rf"\[([^\]]+)\]\({_URL}\)", "$1"),
+    (r"https?://[^\s)\]>]+", ""),
+    (r"(?m)^[ \t]*\|[ \t:|-]+\|[ \t]*$", ""),
+]
+CLEAN_LAST = [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*{3}(.+?)\*{3}", "$1"), (r"\*{2}(.+?)\*{2}", "$1"), (r"\*(.+?)\*", "$1"), (r"(?m)^[\t ]*(?:[-*+]|\d+\.)\s+", ""), (r"\n{3,}", "\n\n")]
 
 
 def clean_passage(text: Column) -> Column:
     """Prose of a Markdown passage: without code, formulas, tags, images, urls, marks and table rules; rows as lists."""
-    t = F.regexp_replace(text, r"(?s)```\w*\n?.*?```", "")
-    t = F.regexp_replace(t, r"(?s)\$\$.*?\$\$", "")
-    t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", "")
-    t = F.regexp_replace(t, rf"\[!\[([^\]]*)\]\(({_URL})\)\]\({_URL}\)", r"![$1]($2)")
-    t = F.regexp_replace(t, rf"!\[[^\]]*\]\({_URL}\)", "")
-    t = F.regexp_replace(t, rf"\[([^\]]+)\]\({_URL}\)", "$1")
-    t = F.regexp_replace(t, r"https?://[^\s)\]>]+", "")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*\|[ \t:|-]+\|[ \t]*$", "")
+    for pattern, by in CLEAN:
+        text = F.regexp_replace(text, pattern, by)
     row = lambda x: F.array_join(F.filter(F.transform(F.split(F.regexp_extract(x, r"^[ \t]*\|(.+?)\|[ \t]*$", 1), r"\|"), stripped), lambda c: c != ""), ", ")
-    t = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.when(x.rlike(r"^[ \t]*\|.+?\|[ \t]*$"), row(x)).otherwise(x)), "\n")
-    for pattern, by in ((r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*{3}(.+?)\*{3}", "$1"), (r"\*{2}(.+?)\*{2}", "$1"), (r"\*(.+?)\*", "$1"), (r"(?m)^[\t ]*(?:[-*+]|\d+\.)\s+", ""), (r"\n{3,}", "\n\n")):
-        t = F.regexp_replace(t, pattern, by)
-    return stripped(t)
+    text = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(r"^[ \t]*\|.+?\|[ \t]*$"), row(x)).otherwise(x)), "\n")
+    for pattern, by in CLEAN_LAST:
+        text = F.regexp_replace(text, pattern, by)
+    return stripped(text)
 
 
 def enriched_passage(content: Column, image_info: Column, metadata: Column) -> Column:

@@ -276,14 +276,21 @@ def chunk_parent_child(t: Tables) -> DataFrame:
     return split_with(t, parent_child=True, strategy="auto")
 
 
-@query("SELECT * FROM (VALUES ('auto', 0::BIGINT), ('heading', 0::BIGINT), ('heuristic', 0::BIGINT), ('legacy', 0::BIGINT), ('parent_child', 0::BIGINT)) v(strategy, violations)")
-def chunk_offsets_valid(t: Tables) -> DataFrame:
-    """Chunks whose offsets do not give their content, by strategy."""
-    md = markdown(t)
-    out = None
+SOLID = "length(regexp_replace({x}, '[ \t\n\r]', '', 'g'))"
+
+
+@query(f"WITH {MARKDOWN} SELECT strategy, doc_id, {SOLID.format(x='text')} AS solid FROM md, (VALUES ('auto'), ('heading'), ('heuristic'), ('legacy'), ('parent_child')) v(strategy)")
+def chunk_cover(t: Tables) -> DataFrame:
+    """Characters but white space that the chunks of a document hold, each once, by strategy: all of them.
+
+    Chunks count where their range gives their text; what two chunks share is counted in the first.
+    """
+    md, out = markdown(t), None
     for name, f in (("auto", chunk_auto), ("heading", chunk_heading), ("heuristic", chunk_heuristic), ("legacy", chunk_legacy), ("parent_child", chunk_parent_child)):
-        c = f(t).join(md, "doc_id").where(F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at")) != F.col("content"))
-        one = c.agg(F.count("*").alias("violations")).select(F.lit(name).alias("strategy"), "violations")
+        c = f(t).where("kind = 'text'").join(md, "doc_id").where(F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at")) == F.col("content"))
+        reach = F.coalesce(F.max("end_at").over(Window.partitionBy("doc_id").orderBy("start_at", "end_at", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        new = F.substring("content", F.greatest(reach - F.col("start_at"), F.lit(0)) + 1, F.length("content"))
+        one = c.select("doc_id", F.length(F.regexp_replace(new, r"[ \t\n\r]", "")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("solid")).select(F.lit(name).alias("strategy"), "doc_id", "solid")
         out = one if out is None else out.unionByName(one)
     return out
 

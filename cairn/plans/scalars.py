@@ -33,21 +33,14 @@ def cjk_terms(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.cjk_terms(text).alias("terms"))
 
 
-_U = r"[^()\s]*(?:\([^)]*\)[^()\s]*)*"
-_STEPS = [
-    (r"(?s)```\w*\n?.*?```", ""), (r"(?s)\$\$.*?\$\$", ""), (r"</?[a-zA-Z][^>]*>", ""), (rf"\[!\[([^\]]*)\]\(({_U})\)\]\({_U}\)", r"![\1](\2)"), (rf"!\[[^\]]*\]\({_U}\)", ""),
-    (rf"\[([^\]]+)\]\({_U}\)", r"\1"), (r"https?://[^\s)\]>]+", ""), (r"(?m)^[ \t]*\|[ \t:|-]+\|[ \t]*$", ""),
-]
-_AFTER = [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*{3}(.+?)\*{3}", r"\1"), (r"\*{2}(.+?)\*{2}", r"\1"), (r"\*(.+?)\*", r"\1"), (r"(?m)^[\t ]*(?:[-*+]|\d+\.)\s+", ""), (r"\n{3,}", r"' || chr(10) || chr(10) || '")]
-
-
 def clean_sql(x: str) -> str:
-    for a, b in _STEPS:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    step = lambda x, a, b: f"regexp_replace({x}, '{a}', '{b.replace('$', chr(92))}', 'g')".replace(chr(10), "' || chr(10) || '")
+    for a, b in T.CLEAN:
+        x = step(x, a, b)
     row = r"array_to_string(list_filter(list_transform(string_split(regexp_extract(l, '^[ \t]*\|(.+?)\|[ \t]*$', 1), '|'), lambda c: trim(c, ' ')), lambda c: c <> ''), ', ')"
     x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^[ \\t]*\\|.+?\\|[ \\t]*$') THEN {row} ELSE l END), chr(10))"
-    for a, b in _AFTER:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    for a, b in T.CLEAN_LAST:
+        x = step(x, a, b)
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
