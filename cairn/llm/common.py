@@ -115,10 +115,12 @@ class Scratch:
         self.paths.append(path)
         return table
 
-    def drop_last(self, name: str) -> None:
-        """Delete the last table of that name before the others."""
-        at = max(i for i, p in enumerate(self.paths) if p.rsplit("/", 1)[1].startswith(f"{name}-"))
-        dropped(self.spark, self.paths.pop(at))
+    def drop_named(self, name: str, keep: int = 0) -> None:
+        """Delete the tables of that name, but the last ones to keep, before the others."""
+        old = [p for p in self.paths if p.rsplit("/", 1)[1].startswith(f"{name}-")]
+        for p in old[: len(old) - keep]:
+            dropped(self.spark, p)
+            self.paths.remove(p)
         released(self.spark)
 
     def drop(self) -> None:

@@ -154,6 +154,7 @@ def refined(heads: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool,
         read = texts.join(rows, "_row")
         again = (read.dropDuplicates(["id"]) if repeats else read).select("id", "n", "_text").mapInArrow(anew, "id long, n int, head array<long>")
         heads = scratch(heads.join(small(changed), "id", "left_anti").unionByName(again), "heads")
+        scratch.drop_named("heads", keep=1)
     return heads
 
 
@@ -181,7 +182,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, texts: DataFr
     x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias("_" + c)) for c in "ab")
     same = F.size(F.array_intersect("_a", "_b")) * (100 + share) >= share * (F.size("_a") + F.size("_b"))
     links = scratch(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
-    scratch.drop_last("sets")
+    scratch.drop_named("sets")
     return links
 
 
@@ -268,11 +269,15 @@ def _grouped(docs: DataFrame, key: str, text: str, ngram: int, share: int, radiu
 
     prints = scratch(texts.select("_key", "_row", of("_text").alias("p")).select("_key", "_row", "p.*"), "shingles")
     first = F.min(F.struct(F.col("_key").isNull().alias("null"), "_key", "_row"))
-    whole = scratch(prints.groupBy("d0", "d1").agg(first.alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    nodes = whole.drop("head")
+    # what is wide is kept once: heads and sketches leave the rows' table, and heads the sets' table
+    whole = scratch(prints.groupBy("d0", "d1").agg(first.alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "whole")
+    prints = scratch(prints.select("_key", "_row", "d0", "d1"), "rows")
+    scratch.drop_named("shingles")
+    nodes, heads = scratch(whole.drop("head"), "nodes"), scratch(whole.select("id", "n", "head"), "heads")
+    scratch.drop_named("whole")
     repeats = not prints.groupBy("_row").count().where("count > 1").isEmpty()
     said = texts.select("_row", "_text")
-    heads = refined(whole.select("id", "n", "head"), nodes, said, repeats, order, ngram, share, scratch)
+    heads = refined(heads, nodes, said, repeats, order, ngram, share, scratch)
     roots = components(links(nodes, heads, said, repeats, ngram, share, radius, block, scratch), scratch)
     rooted = nodes.select("id", "d0", "d1", "rep").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     return prints, rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("d0", "d1", F.col("first").alias("rep")), repeats
