@@ -23,15 +23,15 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return keep
 
 
-#: The least bytes of a table that is worth dealing out to idle cores.
-WORTH = 4 << 20
+#: The least bytes of a table that is worth dealing out to idle cores, and the bytes of a split.
+WORTH, SPLIT = 4 << 20, 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that has fewer splits than there are cores, dealt out to all of them; larger ones are read as they are."""
+    """A small table that lies in fewer files than there are cores, dealt out to all of them; others are read as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size >= WORTH and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if WORTH <= size < cores * SPLIT and len(df.inputFiles()) < cores else df
 
 
 class Tables:
