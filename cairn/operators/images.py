@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import image_urls, stripped
-from cairn.operators.merge import slice_of
+from cairn.operators.merge import image_info, slice_of
 
 INFO = "array<map<string,string>>"
 #: An inline image of Markdown.
@@ -51,6 +51,18 @@ def pruned(content: Column, content_start: Column, start: Column, end: Column) -
     return F.when(size > 0, stripped(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(content)
 
 
+def child_infos(chunks: DataFrame, order: str = "chunk_index") -> DataFrame:
+    """(chunk_id, image_info) of chunks with images below them: those of their own image chunks, and of their text chunks'.
+
+    Each url once, in order of first sight; a later text that is not empty replaces an earlier one.
+    """
+    shown = chunks.where(F.col("chunk_type").isin(*IMAGE_KINDS) & (F.coalesce("image_info", F.lit("")) != "")).select("parent_chunk_id", "image_info", order)
+    texts = chunks.where((F.col("chunk_type") == "text") & F.col("parent_chunk_id").isNotNull()).select(F.col("chunk_id").alias("_t"), F.col("parent_chunk_id").alias("_g"))
+    own = shown.where("parent_chunk_id is not null").select(F.col("parent_chunk_id").alias("chunk_id"), "image_info", order)
+    below = shown.join(texts, F.col("parent_chunk_id") == F.col("_t")).select(F.col("_g").alias("chunk_id"), "image_info", order)
+    return image_info(own.unionByName(below), "chunk_id", "image_info", order)
+
+
 def resolve_image_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits on image texts as the part of the document around them.
 

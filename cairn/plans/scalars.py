@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.operators import clients, merge, pages, rerank, store
+from cairn.operators import clients, images, merge, pages, rerank, store
 from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm_sql, tokens_sql
 from cairn.sources import documents as sources
@@ -169,3 +169,16 @@ def tool_counts(t: Tables) -> DataFrame:
 @query("SELECT lang AS kb_id, count(DISTINCT source) AS documents, count(*) AS chunks FROM documents GROUP BY lang")
 def kb_counts(t: Tables) -> DataFrame:
     return store.base_counts(t.documents.select(F.col("lang").alias("kb_id"), F.col("source").alias("knowledge_id")))
+
+
+@query("""WITH c AS (SELECT doc_id, source, doc_id - CASE doc_id % 4 WHEN 3 THEN 3 ELSE 1 END AS parent FROM documents), t AS (SELECT parent AS target, doc_id, source FROM c WHERE doc_id % 4 IN (2, 3) UNION ALL
+ SELECT x.parent, c.doc_id, c.source FROM c JOIN c x ON x.doc_id = c.parent AND x.doc_id % 4 = 1 WHERE c.doc_id % 4 = 2),
+u AS (SELECT target, 'u' || (doc_id % 5) AS url, min(doc_id) AS first, arg_max(source, doc_id) AS caption FROM t GROUP BY ALL) SELECT target::VARCHAR AS chunk_id, string_agg(url || '=' || caption, ',' ORDER BY first) AS shown FROM u GROUP BY target""")
+def child_images(t: Tables) -> DataFrame:
+    """Every fourth document is a parent, the next its text, then the text's image and the parent's."""
+    kind = F.when(F.col("doc_id") % 4 == 0, "parent_text").when(F.col("doc_id") % 4 == 1, "text").when(F.col("doc_id") % 4 == 2, "image_ocr").otherwise("image_caption")
+    parent = F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") - F.when(F.col("doc_id") % 4 == 3, 3).otherwise(1))
+    info = F.to_json(F.array(F.struct(F.concat(F.lit("u"), (F.col("doc_id") % 5).cast("string")).alias("url"), F.col("source").alias("caption"), F.lit("").alias("ocr_text"))))
+    chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), parent.cast("string").alias("parent_chunk_id"), kind.alias("chunk_type"), info.alias("image_info"), F.col("doc_id").alias("chunk_index"))
+    parsed = F.from_json("image_info", "array<struct<url: string, caption: string>>")
+    return images.child_infos(chunks).select("chunk_id", F.array_join(F.transform(parsed, lambda x: F.concat(x["url"], F.lit("="), x["caption"])), ",").alias("shown"))
