@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written_for_later
+from .common import lean, small, written_for_later
 from .tokenfile import opened
 
 #: The header fields of the two versions, as the version block names them.
@@ -219,6 +219,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             fs.move(at, f"{root}/{shard}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n])], ["shard", "records"])
 
+    lean(pages.sparkSession)
     return source.mapInArrow(run, "shard long, records long")
 
 

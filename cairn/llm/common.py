@@ -37,6 +37,12 @@ ROWS_AT_ONCE = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS_AT_ONCE rows in this session, for plans that send texts to Python when they are run later."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_AT_ONCE:
+        spark.conf.set(_BATCH, ROWS_AT_ONCE)
+
+
 def written(df: DataFrame, name: str, rows: int = ROWS_AT_ONCE) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, which any executor can read again after another was lost; and its path."""
     spark = df.sparkSession

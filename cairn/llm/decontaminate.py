@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, relieved, written, written_for_later
+from .common import dropped, lean, relieved, written, written_for_later
 
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 #: Of the filter before the distance.
@@ -276,6 +276,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
         return run
 
+    lean(docs.sparkSession)
     blocks, out = _blocks(items, item_key, item_text, block_bytes), None
     for block in blocks:
         sent = _sent(block)
@@ -302,6 +303,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
 
         return holds
 
+    lean(docs.sparkSession)
     blocks, last = _blocks(items, item_key, item_text, block_bytes), None
     for n, block in enumerate(blocks, 1):
         sent = _sent(block)

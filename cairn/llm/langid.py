@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import relieved
+from .common import lean, relieved
 
 #: Bytes in a stretch, and stretches that run side by side.
 SPAN, SIDE = 128, 1024
@@ -278,6 +278,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", to: tuple[
         relieved()
         return pd.DataFrame({"lang_pred": got[0], "score": got[1]})
 
+    lean(docs.sparkSession)
     said = "said_" + uuid.uuid4().hex
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in to]
     return docs.withColumn(said, of(F.col(f"`{text}`").cast("string"))).select(*kept, F.col(f"{said}.lang_pred").alias(to[0]), F.col(f"{said}.score").alias(to[1]))

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # Elements of the HTML standard, and words that name menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
@@ -293,4 +295,5 @@ def with_main_text(pages: DataFrame, html: str = "html", to: str = "text") -> Da
     def of(values: pd.Series) -> pd.Series:
         return pd.Series([main_text(v) for v in values], dtype=object)
 
+    lean(pages.sparkSession)
     return pages.withColumn(to, of(F.col(f"`{html}`").cast("string")))

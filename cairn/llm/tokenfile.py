@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import encoded, width
 
 #: Sequences in a record batch, and estimated input of a shard.
@@ -131,6 +132,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([out.total]), pa.array([n])], ["shard", "n_tokens", "n_docs"])
 
+    lean(docs.sparkSession)
     # as many shards as the session's shuffles, or one for each SHARD_BYTES of input if that is more
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // SHARD_BYTES))
