@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, and each distinct word encoded once per worker.
 
 Where a tokenizer provably never lets a token cross a word boundary, its ids for a text are those of the words in turn.
-The words are cut out as bytes, looked up in a memo, and only unknown ones go through the tokenizers library, as texts of
-many words with a marker word after each. At a fixed number of words the memo forgets those met once, so memory is
+The words are cut out as bytes, told apart by Arrow, the distinct ones looked up in a memo, and only unknown ones go through
+the tokenizers library, as texts of many words with a marker word after each. At a fixed number of words the memo forgets those met once, so memory is
 bounded. Texts that hold an added token's string, texts with white space outside ASCII where that matters, and any other
 tokenizer go through the library whole. All settings of the library stay as the file gives them: a special token's string
 in a text becomes that token, and ``add_special_tokens=False`` adds none.
@@ -21,8 +21,9 @@ import pyarrow as pa
 
 from .common import blocks, relieved
 
-#: A word with the white space before it.
-_LED = re.compile(rb"\s*\S+|\s+")
+#: Which bytes are white space in ASCII.
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Words in the memo and of those in an idle worker, and unknown words in one text.
@@ -108,11 +109,18 @@ class Encoder:
     def _learn(self) -> None:
         new = self.memo.new
         need, at = len(self.memo), len(self.memo) - len(new)
-        odd = list(range(len(new))) if self.mark is None else [i for i, w in enumerate(new) if b"\0" in w or self.led and (w[0] > 32 or w[-1] < 33)]
+        nul = b"\0" in b"".join(new)
+        if self.mark is None:
+            odd = list(range(len(new)))
+        elif self.led:
+            odd = [i for i, w in enumerate(new) if w[0] > 32 or w[-1] < 33 or nul and b"\0" in w]
+        else:
+            odd = [i for i, w in enumerate(new) if b"\0" in w] if nul else []
         skip = set(odd)
         plain = [i for i in range(len(new)) if i not in skip] if odd else range(len(new))
         if self.bare is not self.tokenizer:
-            some, rest = [i for i in plain if new[i].isascii()], [i for i in plain if not new[i].isascii()]
+            plainly = list(map(bytes.isascii, new))
+            some, rest = [i for i in plain if plainly[i]], [i for i in plain if not plainly[i]]
             groups, plain = [(some, self.bare), (rest, self.tokenizer)], [*some, *rest]
         else:
             groups = [(plain, self.tokenizer)]
@@ -150,12 +158,36 @@ class Encoder:
         """Whether only the library's own way from text to ids is sure."""
         return not (self.led or self.apart) or self.added is not None and bool(self.added.search(text)) or self.led and not text.isascii() and bool(_ODD_SPACE.search(text))
 
+    def _cut(self, texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The words of all texts in a row, and how many each text has: led by their white space, or without it in lower case."""
+        joined = b"".join(texts)
+        raw = np.frombuffer(joined if self.led else joined.lower(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        space = _SPACE[raw]
+        first = np.zeros(len(raw), bool)
+        first[np.concatenate(([0], ends[:-1]))[np.diff(ends, prepend=0) > 0]] = True
+        if self.led:
+            first[1:] |= space[1:] & ~space[:-1]
+            start = np.flatnonzero(first)
+            size = np.diff(start, append=len(raw))
+        else:
+            after = np.roll(space, 1) | first
+            start = np.flatnonzero(~space & after)
+            last = np.flatnonzero(~space & (np.roll(space, -1) | np.roll(first, -1)))
+            if len(raw) and not space[-1] and (not len(last) or last[-1] != len(raw) - 1):
+                last = np.append(last, len(raw) - 1)
+            size, raw = last + 1 - start, raw[~space]
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+        return words, np.diff(np.searchsorted(start, ends), prepend=0)
+
     def _by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > MEMO:
             self.forget(MEMO // 2)
-        words = [_LED.findall(t) if self.led else t.lower().split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        words, n = self._cut(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        which = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.memo.new:
             self._learn()
         seen = np.bincount(which)
