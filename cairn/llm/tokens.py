@@ -27,7 +27,7 @@ _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: White space outside ASCII, in UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Words in the memo and of those in an idle worker, and unknown words in one text.
-MEMO, IDLE, TOGETHER = 800_000, 300_000, 64
+MEMO, IDLE, TOGETHER = 800_000, 300_000, 256
 #: A word that no other is joined to, for its white space; words that hold its character are encoded alone.
 _MARK = " \0"
 
@@ -67,6 +67,10 @@ class Encoder:
         self.bare = Tokenizer(self.tokenizer.model) if self.apart else self.tokenizer
         if self.apart:
             self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
+        # ids whose token starts with a space, or ends a word: they tell simple words apart without a marker
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True) if self.led or self.apart else {}
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.led else t.endswith("</w>"))]] = True
         self._clear()
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -76,6 +80,15 @@ class Encoder:
         got = self._plain([w.decode("utf-8") for w in words])
         return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
+    def _joined(self, words: list[bytes], by: object) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that are led by one space, or have letters only: just one token of each has an edge."""
+        text = (b"" if self.led else b" ").join(words).decode("utf-8")
+        ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self._marked(words, by)
+        return ids, np.diff(at, append=len(ids)) if self.led else np.diff(at, prepend=-1)
+
     def _marked(self, words: list[bytes], by: object) -> tuple[np.ndarray, np.ndarray]:
         after = _MARK.encode() if self.led else _MARK.encode() + b" "
         ids = np.array(by.encode_batch_fast([(after.join(words) + after).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
@@ -118,13 +131,15 @@ class Encoder:
             odd = [i for i, w in enumerate(new) if b"\0" in w] if nul else []
         skip = set(odd)
         plain = [i for i in range(len(new)) if i not in skip] if odd else range(len(new))
-        if self.bare is not self.tokenizer:
-            plainly = list(map(bytes.isascii, new))
-            some, rest = [i for i in plain if plainly[i]], [i for i in plain if not plainly[i]]
-            groups, plain = [(some, self.bare), (rest, self.tokenizer)], [*some, *rest]
-        else:
-            groups = [(plain, self.tokenizer)]
-        got = [self._marked([new[j] for j in some[i : i + TOGETHER]], by) for some, by in groups for i in range(0, len(some), TOGETHER)]
+        plainly = list(map(bytes.isascii, new)) if self.apart else []
+        easy = [i for i in plain if new[i].isalpha()] if self.apart else [i for i in plain if new[i][0] == 32 and new[i][1] > 32]
+        eased = set(easy)
+        rest = [i for i in plain if i not in eased]
+        some, rest = [i for i in rest if self.apart and plainly[i]], [i for i in rest if not self.apart or not plainly[i]]
+        # ASCII words of a tokenizer with a normaliser are as it leaves them
+        groups = [(easy, self.bare, self._joined), (some, self.bare, self._marked), (rest, self.tokenizer, self._marked)]
+        got = [how([new[j] for j in part[i : i + TOGETHER]], by) for part, by, how in groups for i in range(0, len(part), TOGETHER)]
+        plain = [*easy, *some, *rest]
         if odd:
             got.append(self._apart([new[i] for i in odd]))
         flat, count = (np.concatenate([g[i] for g in got]) for i in (0, 1))
