@@ -13,8 +13,11 @@ the texts. Equal sets are one node.
    more are posted get their count there and move back, for ``ROUNDS`` rounds. Only the time depends on these counts. A
    pair is dropped unread if its sizes, what can follow its first common element, what its heads share, or (in large
    groups) how many of their elements fall into the same classes of hashes rule the similarity out. Under each element every text is compared with one other first, and as long as large groups stay open
-   with further ones. What all these links do not connect yet is paired in full: elements of up to ``block`` texts in one
-   task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own.
+   with further ones. What all these links do not connect yet is compared in full: elements of up to ``block`` texts in
+   one task, larger ones dealt into blocks by a hash and every pair of blocks a task of its own. Where the bounds leave
+   at most ``PAIRED`` pairs a text, these are verified like the others. Where they leave more, the whole sets of the
+   texts that are in such pairs meet in one task (or in blocks of ``ELEMENTS`` shingles), which compares them exactly
+   and returns a spanning forest: what a group writes is linear in its texts, what its task compares is not.
 
 Defined results: texts without words have the empty set and are equal; repeated rows get the same component; a null id
 names a component only if all its members have null ids; one row of each component stays, that with the smallest id (null
@@ -42,7 +45,9 @@ SAMPLE, RANKED = 8192, 500_000
 #: Texts under an element that make it move back, how often that is done, and how often groups are compared with one text.
 HOT, ROUNDS, STARS = 16, 3, 2
 #: Texts of an open group from which on their sketches bound pairs, and counters of a sketch.
-LARGE, COUNTERS = 32, 128
+LARGE, COUNTERS = 8, 128
+#: Pairs for each text of a large group that are verified singly, and the shingles of a block of whole sets.
+PAIRED, ELEMENTS = 2, 1 << 20
 
 
 def shingles(text: str | bytes | None, ngram: int = 5, seed: int = 42) -> np.ndarray:
@@ -105,6 +110,39 @@ def pairs_under(x: np.ndarray, share: int, sketches: np.ndarray | None = None) -
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def forest(ids: np.ndarray, x: np.ndarray, hashes: np.ndarray, share: int) -> tuple[list[int], list[int]]:
+    """Links (a, b) that connect the roots of a group just as all its links of the similarity do.
+
+    x: rows (root, size, place of the common element, block) of sets whose hashes follow each other. If there are two
+    blocks, only pairs across them are compared.
+    """
+    a, b = [], []
+    _, keys, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    root, two = np.unique(x[:, 0], return_inverse=True)[1], len(np.unique(x[:, 3])) > 1
+    shared = times[keys] > 1  # the common element is, so that no set becomes empty
+    starts = np.concatenate(([0], np.cumsum(shared)))[np.concatenate(([0], np.cumsum(x[:, 1])))]
+    keys, mark = keys[shared], np.zeros(len(times), np.int32)
+    for i in range(len(ids) - 1):
+        y = x[i + 1 :]
+        ask = (root[i + 1 :] != root[i]) & reaches(np.minimum(x[i, 1] - x[i, 2], y[:, 1] - y[:, 2]), x[i, 1], y[:, 1], share)
+        j = np.flatnonzero(ask & (y[:, 3] != x[i, 3]) if two else ask) + i + 1
+        if not len(j):
+            continue
+        own = keys[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        if len(j) < 16:
+            common = np.array([mark[keys[starts[k] : starts[k + 1]]].sum() for k in j])
+        else:
+            common = np.add.reduceat(mark[keys[starts[j[0]] :]], starts[j[0] : -1] - starts[j[0]])[j - j[0]]
+        mark[own] = 0
+        for k in j[reaches(common.astype(np.int64), x[i, 1], x[j, 1], share)]:
+            if root[k] != root[i]:
+                a.append(int(min(ids[i], ids[k])))
+                b.append(int(max(ids[i], ids[k])))
+                root[root == root[k]] = root[i]
+    return a, b
+
+
 def order_of(texts: DataFrame, ngram: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that several of a sample of texts (_row, _text) share, sorted, and their counts as for all texts."""
 
@@ -158,10 +196,10 @@ def refined(heads: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool,
     return heads
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes (id, rep) with heads (id, n, head) whose whole sets have the similarity."""
+def sets_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, repeats: bool, ngram: int, scratch: Scratch) -> DataFrame:
+    """The whole sets (id, hashes) of nodes (ids: id), hashed again from the texts."""
 
-    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, some in blocks(x.as_py() for x in batch.column(1).cast(pa.binary())):
                 sets = [shingles(t, ngram).view(np.int64) for t in some]
@@ -170,15 +208,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, texts: DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(some)), lists], ["id", "hashes"])
         relieved()
 
+    used = scratch(ids.join(nodes.select("id", "rep._row"), "id"), "used")
+    read = texts.join(small(used), "_row")
+    return scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", "_text").mapInArrow(hashed, "id long, hashes array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, texts: DataFrame, repeats: bool, ngram: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes (id, rep) with heads (id, n, head) whose whole sets have the similarity."""
+
     # what two heads share and what can follow them bounds what the sets share
     ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     heads = heads.join(small(scratch(ids(pairs), "asked")), "id")
     x, y = (heads.select(F.col("id").alias(c), F.col("n").cast("long").alias("n" + c), F.col("head").alias("h" + c)) for c in "ab")
     most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
     pairs = scratch(pairs.join(x, "a").join(y, "b").where(most * (100 + share) >= (F.col("na") + F.col("nb")) * share).select("a", "b"), "pairs")
-    used = scratch(ids(pairs).join(nodes.select("id", "rep._row"), "id"), "used")
-    read = texts.join(small(used), "_row")
-    sets = scratch((read.dropDuplicates(["id"]) if repeats else read).select("id", "_text").mapInArrow(sets_of, "id long, hashes array<long>"), "sets")
+    sets = sets_of(ids(pairs), nodes, texts, repeats, ngram, scratch)
     x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias("_" + c)) for c in "ab")
     same = F.size(F.array_intersect("_a", "_b")) * (100 + share) >= share * (F.size("_a") + F.size("_b"))
     links = scratch(pairs.join(x, "a").join(y, "b").where(same).select("a", "b"), "links")
@@ -225,31 +269,52 @@ def links(nodes: DataFrame, heads: DataFrame, texts: DataFrame, repeats: bool, n
     first = found
     sized = open_.join(open_.groupBy("h").agg(F.count("*").alias("c")), "h").drop("k")
     member, wide = F.struct("id", "root", "n", "at"), F.struct("id", "root", "n", "at", "sketch")
+    tile = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     few = sized.where(F.col("c") < LARGE).groupBy("h").agg(F.collect_list(member).alias("m"))
     many = sized.where(F.col("c") >= LARGE).join(nodes.select("id", "sketch"), "id")
-    whole = many.where(F.col("c") <= block).groupBy("h").agg(F.collect_list(wide).alias("m")).select("m")
+    whole = many.where(F.col("c") <= block).groupBy("h").agg(F.collect_list(wide).alias("m")).select("h", "m")
     dealt = many.where(F.col("c") > block).withColumn("blocks", F.ceil(F.col("c") * 1.25 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = paired.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(wide).alias("m")).select("m")
+    parts = paired.groupBy("h", *tile).agg(F.collect_list(wide).alias("m")).select("h", "m")
 
-    def compared(group: list, sketches: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def compared(group: list, sketches: np.ndarray | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs to verify, or, if they are more than most for each member, the members that they hold."""
         ids, *x = (np.asarray(v, np.int64) for v in group)
         i, j = pairs_under(np.stack(x, 1), share, sketches)
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        if most is not None and len(i) > most * len(ids):
+            return ids[:0], ids[:0], ids[np.union1d(i, j)]
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), ids[:0]
 
     @F.pandas_udf("a array<long>, b array<long>")
     def under(ids: pd.Series, root: pd.Series, n: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compared(g, None) for g in zip(ids, root, n, at, strict=True)], columns=["a", "b"])
+        return pd.DataFrame([compared(g, None)[:2] for g in zip(ids, root, n, at, strict=True)], columns=["a", "b"])
 
-    @F.pandas_udf("a array<long>, b array<long>")
+    @F.pandas_udf("a array<long>, b array<long>, dense array<long>")
     def under_large(ids: pd.Series, root: pd.Series, n: pd.Series, at: pd.Series, sketches: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compared(g, np.frombuffer(b"".join(map(bytes, x)), "<u2").reshape(-1, COUNTERS)) for *g, x in zip(ids, root, n, at, sketches, strict=True)], columns=["a", "b"])
+        return pd.DataFrame([compared(g, np.frombuffer(b"".join(map(bytes, x)), "<u2").reshape(-1, COUNTERS), PAIRED) for *g, x in zip(ids, root, n, at, sketches, strict=True)], columns=["a", "b", "dense"])
+
+    def linked(group: pa.Table) -> pa.Table:
+        ids, *x = (group.column(c).to_numpy() for c in ("id", "root", "n", "at", "own"))
+        hashes = np.concatenate([c.flatten().to_numpy() for c in group.column("hashes").chunks])
+        a, b = forest(ids, np.stack([v.astype(np.int64) for v in x], 1), hashes, share)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     columns = [F.col(f"m.{c}") for c in ("id", "root", "n", "at")]
-    large = scratch(whole.unionByName(parts).select(under_large(*columns, F.col("m.sketch")).alias("p")), "large", rows=8)
-    met = few.select(under(*columns).alias("p")).unionByName(large)
+    large = scratch(whole.unionByName(parts).select("h", under_large(*columns, F.col("m.sketch")).alias("p")), "large", rows=8)
+    met = few.select(under(*columns).alias("p")).unionByName(large.select(F.struct("p.a", "p.b").alias("p")))
     rest = scratch(met.select(F.explode(F.arrays_zip("p.a", "p.b")).alias("p")).select("p.a", "p.b").distinct(), "rest")
-    return first.unionByName(verified(rest, nodes, heads, texts, repeats, ngram, share, scratch))
+    first = first.unionByName(verified(rest, nodes, heads, texts, repeats, ngram, share, scratch))
+    dense = scratch(large.select("h", F.explode("p.dense").alias("id")).distinct().join(open_.select("h", "id", "root", "n", "at"), ["h", "id"]), "dense")
+    if dense.isEmpty():
+        return first
+    # each group's blocks hold at most about ELEMENTS shingles, as the sets that meet are whole
+    into = F.when((F.col("c") <= block) & (F.col("s") <= ELEMENTS), 1).otherwise(F.ceil(F.greatest(F.col("c") / block, F.col("s") / ELEMENTS) * 1.25).cast("int"))
+    dealt = dense.join(dense.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("h", into.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", *tile, "id", "root", "n", "at", "own")
+    sets = sets_of(dense.select("id").distinct(), nodes, texts, repeats, ngram, scratch)
+    spanned = scratch(paired.join(sets, "id").groupBy("h", "i", "j").applyInArrow(linked, "a long, b long"), "spanned")
+    scratch.drop_named("sets")
+    return first.unionByName(spanned)
 
 
 def _grouped(docs: DataFrame, key: str, text: str, ngram: int, share: int, radius: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:

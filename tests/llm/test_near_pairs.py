@@ -107,3 +107,61 @@ def test_large_groups_of_borderline_copies(spark, block):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, block=block).collect()}
     assert got == dict(enumerate(all_pairs(texts)))
+
+
+def test_a_forest_connects_what_all_links_of_a_group_connect():
+    rng = np.random.default_rng(6)
+    for turn in range(60):
+        base, n = rng.integers(0, 1 << 62, int(rng.integers(20, 90))), int(rng.integers(2, 60))
+        sets = [np.unique(np.concatenate((base[:1], base[rng.random(len(base)) < rng.uniform(0.8, 1)], rng.integers(0, 1 << 62, int(rng.integers(0, 9)))))) for _ in range(n)]
+        ids, roots, block = np.arange(n) * 3, rng.integers(0, n, n), rng.integers(0, 2, n) if turn % 2 else np.zeros(n, int)
+
+        def joined(links, roots=roots, n=n):
+            label = roots.copy()
+            for i, j in links:
+                label[label == label[i]] = label[j]
+            return [[label[i] == label[j] for j in range(n)] for i in range(n)]
+
+        every = []
+        for i in range(n):
+            for j in range(i):
+                same = len(np.intersect1d(sets[i], sets[j]))
+                if same * 100 >= 80 * (len(sets[i]) + len(sets[j]) - same) and (block[i] != block[j] or len(set(block)) == 1):
+                    every.append((j, i))
+        x = np.stack([roots, [len(s) for s in sets], np.zeros(n, int), block], 1)
+        a, b = similar.forest(ids, x, np.concatenate(sets), 80)
+        found = [(i // 3, j // 3) for i, j in zip(a, b, strict=True)]
+        assert set(found) <= set(every) and len(found) < n
+        assert joined(found) == joined(every)
+
+
+@pytest.mark.parametrize(("block", "elements", "blocks"), [(2048, 1 << 20, 1), (100, 5000, 10)])
+def test_large_groups_without_links_write_few_rows(spark, monkeypatch, block, elements, blocks):
+    """Copies that each change three words in a row: 0.89 where they change the same three, else 0.785, which no bound rules out.
+
+    A table has at most the rows of all heads (24 of 116 shingles each), times the blocks that a group is dealt into.
+    """
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, texts = [word() for _ in range(120)], []
+    for i in range(320):
+        changed, at = list(base), 4 + 7 * (i % 16)
+        changed[at : at + 3] = [word() for _ in range(3)]
+        texts.append(" ".join(changed))
+    rows, call = [], similar.Scratch.__call__
+
+    def counted(self, df, name, *more, **how):
+        table = call(self, df, name, *more, **how)
+        rows.append((table.count(), name))
+        if name == "large":
+            rows.append((sum(len(r.p.a) for r in table.select("p").collect()), name))
+        return table
+
+    monkeypatch.setattr(similar.Scratch, "__call__", counted)
+    monkeypatch.setattr(similar, "ELEMENTS", elements, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, block=block).collect()}
+    want = all_pairs(texts)
+    assert len(set(want)) == 16
+    assert got == dict(enumerate(want))
+    assert max(rows)[0] <= 24 * len(texts) * blocks
